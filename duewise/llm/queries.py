@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import mixing
+from duewise.llm import bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix": mixing.op7_mix,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
