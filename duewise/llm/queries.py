@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import bpe, mixing
+from duewise.llm import bpe, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_mix": mixing.op7_mix,
     "op10_bpe": bpe.op10_bpe,
 }
