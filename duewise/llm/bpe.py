@@ -40,8 +40,8 @@ SPACES = regex.compile(r"\p{White_Space}+")
 ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 WORD_END = "</w>"
 
-LEXICON_WORDS = 50_000
-MEMO = 200_000
+LEXICON_WORDS = 150_000
+MEMO = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -60,15 +60,31 @@ class Vocabulary:
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.ranks = {(a, b): k for k, (a, b) in enumerate(spec["model"]["merges"])}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.letters = byte_letters()
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece by exact merging, lowest rank first and leftmost among equals."""
-        letters = byte_letters()
-        parts = [letters[b] for b in piece.encode()]
+        parts = [self.letters[b] for b in piece.encode()]
         parts[-1] += WORD_END
+        if len(parts) > 500:
+            return self.merge_long(parts)
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((parts[k], parts[k + 1]), none)
+        return [self.ids[p] for p in parts if p in self.ids]
+
+    def merge_long(self, parts: list[str]) -> list[int]:
+        """The same with one pass for each rank: no token is made before a merge that needs it, so a pass may take all places."""
         while len(parts) > 1:
-            best = min((self.ranks.get(pair, 1 << 60) for pair in zip(parts, parts[1:], strict=False)))
+            best = min(self.ranks.get(pair, 1 << 60) for pair in zip(parts, parts[1:], strict=False))
             if best == 1 << 60:
                 break
             out, k = [], 0
@@ -208,43 +224,40 @@ def chunks(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes in one Python worker; what a chunk of text gives is remembered, up to MEMO chunks."""
+    """Encodes and decodes in one Python worker; what a piece gives is remembered, up to MEMO pieces."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, tuple[str, str]] = {}
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
 
-    def piece(self, piece: str) -> list[int]:
-        found = self.lexicon.find(piece)
-        return self.vocabulary.merge(piece) if found is None else found
-
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens (both joined by blanks) of a chunk."""
-        if (got := self.memo.get(chunk)) is None:
+    def piece(self, piece: str) -> tuple[str, str]:
+        """Ids and tokens of a piece, both joined by blanks."""
+        if (got := self.memo.get(piece)) is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            ids = [i for p in PIECES.findall(chunk) for i in self.piece(p)]
-            got = self.memo[chunk] = len(ids), " ".join(map(str, ids)), " ".join(self.vocabulary.tokens[i] for i in ids)
+            ids = self.lexicon.find(piece)
+            if ids is None:
+                ids = self.vocabulary.merge(piece)
+            got = self.memo[piece] = " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids))
         return got
 
     def text(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, decimal ids and decoded text (both joined by blanks) of a whole text."""
         text = text or ""
-        get, n, ids, tokens = self.memo.get, 0, [], []
+        get, found = self.memo.get, []
         parts = self.special.split(text) if self.special and "<" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                i = self.vocabulary.special[part]
-                n, ids, tokens = n + 1, [*ids, str(i)], [*tokens, part]
+                found.append((str(self.vocabulary.special[part]), part))
                 continue
             for c in chunks(part):
-                m, a, b = get(c) or self.chunk(c)
-                if m:
-                    n += m
-                    ids.append(a)
-                    tokens.append(b)
-        return n, " ".join(ids), " ".join(tokens)
+                if got := get(c):  # most chunks are one piece seen before
+                    found.append(got)
+                else:
+                    found += map(self.piece, PIECES.findall(c))
+        ids = " ".join([x for x, _ in found if x])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([y for x, y in found if x])
 
 
 def lexicon_words(texts: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
