@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import bpe, jaccard, mixing, toxicity
+from duewise.llm import bpe, jaccard, lines, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_lines": lines.op6_lines,
     "op7_mix": mixing.op7_mix,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_bpe": bpe.op10_bpe,
