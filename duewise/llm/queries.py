@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import bpe, jaccard, licenses, lines, mixing, toxicity
+from duewise.llm import bpe, jaccard, licenses, lines, mixing, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_surrogates": surrogates.op2_surrogates,
     "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_lines": lines.op6_lines,
