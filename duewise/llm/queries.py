@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import bpe, jaccard, licenses, lines, mixing, surrogates, toxicity
+from duewise.llm import bpe, jaccard, licenses, lines, mixing, neighbours, pivots, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_surrogates": surrogates.op2_surrogates,
     "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pivots": pivots.op5_pivots,
     "op6_lines": lines.op6_lines,
     "op7_mix": mixing.op7_mix,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_bpe": bpe.op10_bpe,
 }
