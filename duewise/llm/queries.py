@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewise.llm import bpe, jaccard, licenses, lines, mixing, neighbours, pivots, surrogates, toxicity
+from duewise.llm import bpe, jaccard, licenses, lines, mixing, neighbours, packing, pivots, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
     "op2_surrogates": surrogates.op2_surrogates,
     "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
