@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from duewise.llm.common import fresh, table
 
@@ -285,6 +286,10 @@ def lexicon_words(texts: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
     return [r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(size).collect()]
 
 
+def as_array(ids: str) -> np.ndarray:
+    return np.array(ids.split(), np.int32)
+
+
 class Operator:
     """Encoder and decoder of whole columns of text, fitted to the frequent words of ``docs``."""
 
@@ -302,6 +307,7 @@ class Operator:
         for f, name in zip(out.fields[len(keep) :], fields, strict=True):
             f.name = name
         out = T.StructType(out.fields)
+        kinds = [f.dataType for f in out.fields[len(keep) :]]
         source = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{column}`").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +317,7 @@ class Operator:
                 for at in range(0, batch.num_rows, 256):  # so that few decoded texts are held at once
                     part = batch.slice(at, 256)
                     rows = [codec.text(t.as_py()) for t in part.column(len(keep))]
-                    made = [pa.array([f(*r) for r in rows]) for f in make.values()]
+                    made = [pa.array([f(*r) for r in rows], to_arrow_type(t)) for f, t in zip(make.values(), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *make])
 
         return source.mapInArrow(run, out)
@@ -319,8 +325,7 @@ class Operator:
     def encode(self, docs: DataFrame) -> DataFrame:
         """``docs`` with token_ids (array of int) and decoded (text), under other names if those are taken."""
         ids, decoded = fresh("token_ids", docs.columns), fresh("decoded", docs.columns)
-        as_ids = lambda n, ids, tokens: np.array(ids.split(), np.int32)
-        return self.each(docs, {ids: ("array<int>", as_ids), decoded: ("string", lambda n, ids, tokens: tokens)}, docs.columns)
+        return self.each(docs, {ids: ("array<int>", lambda n, ids, tokens: as_array(ids)), decoded: ("string", lambda n, ids, tokens: tokens)}, docs.columns)
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """Of each row: doc_id, number of ids, and SHA-256 of its ids and of its decoded text."""

@@ -22,9 +22,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from duewise.llm.common import fresh, small, table, written
+from duewise.llm.common import small, table, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -127,16 +126,16 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with a column ``copies``: 0, 1 or 2 whole copies nearest to the words that ``mix`` takes of each row."""
-    n = fresh("copies", docs.columns)
-    got = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias(n))
-    got = got.groupBy(F.col("doc_id").alias("_id")).agg(F.max(n).alias(n))
-    return docs.join(got, docs["doc_id"].eqNullSafe(got["_id"]), "left").drop("_id")
+    """``docs`` as the mix has them: each row none, one or more times, the whole number nearest to the share taken of its words.
+
+    Rows without words stay as they are. Rows with one doc_id are dealt alike.
+    """
+    got = mix(docs, **options).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("n"))
+    got = written(got.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_n")))
+    out = docs.join(small(got, got.count()), docs["doc_id"].eqNullSafe(got["_id"])).filter("_n > 0")
+    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).drop("_n", "_id")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the mix of all documents."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
-
-
-SCHEMA = T.StructType.fromDDL("doc_id long, size long, source_size long, target double, taken long")
