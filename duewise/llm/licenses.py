@@ -5,7 +5,7 @@ A block is a run of lines between blank lines, and each line of it on its own. A
 
 1. The documents' frequency of every template word is counted over the whole table; that is the global order, rarest first.
 2. Prefix filter: a block that meets a template of n words holds one of its first n - ceil(threshold n) + 1 words. Texts
-   without any such word are passed over by one regular expression; no other text is cut into words.
+   without any such word are passed over; no other text is cut into blocks.
 3. Length filter: the block has at least ceil(threshold n) distinct words. Positional filter: the first prefix word that the
    block holds leaves enough template words after it.
 4. Candidates are verified on whole word sets. Base labels are phrases, found word by word in whole texts.
@@ -57,9 +57,7 @@ def words_of(text: Column) -> Column:
 
 def frequencies(texts: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many texts (column t, lower-cased) each of ``words`` stands."""
-    one = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-    edge = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    found = F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?<!{edge})(?:{one})(?!{edge})"), F.lit(0)))
+    found = F.array_intersect(F.split("t", GAP), F.array(*map(F.lit, words)))
     rows = texts.select(F.explode(found).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
     return {w: 0 for w in words} | {r["w"]: r["n"] for r in rows}
 
@@ -115,25 +113,22 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
     templates = TEMPLATES if templates is None else templates
     low = ascii_lower(F.col(f"`{text}`"))
     plans = plan(templates, frequencies(docs.select(low.alias("t")), sorted({w for t in templates for w in t.split()})), threshold)
-    edge = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    any_prefix = "|".join(sorted({w for p in plans for w in p["prefix"]}, key=lambda w: (-len(w), w)))
+    prefixes = F.array(*map(F.lit, sorted({w for p in plans for w in p["prefix"]}))).cast("array<string>")
     names = {x: fresh(x, docs.columns) for x in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates")}
     keep = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.withColumn("_low", low)
-    out = out.withColumn("_n", F.regexp_count("_low", F.lit(WORD)).cast("long"))
-    # where a base phrase may stand: null elsewhere, so that only those texts are cut into words
-    out = out.withColumn("_words", F.when(F.col("_low").contains("license"), words_of(F.col("_low"))))
+    out = out.withColumn("_words", words_of(F.col("_low")))
     for k, phrase in enumerate(PHRASES):
         out = out.withColumn(f"_at{k}", places("_words", phrase.split()))
     ats = [F.col(f"_at{k}") for k in range(len(PHRASES))]
     hits = F.concat(*ats)
     base = F.array_compact(F.array(*[F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(ats, PHRASES.values(), strict=True)]))
-    out = out.withColumn("_blocks", F.when(F.col("_low").rlike(f"(?<!{edge})(?:{any_prefix})(?!{edge})"), blocks_of(F.col("_low"))) if any_prefix else F.lit(None).cast("array<array<string>>"))
+    out = out.withColumn("_blocks", F.when(F.arrays_overlap("_words", prefixes), blocks_of(F.col("_low"))))
     out = out.withColumn("_met", F.coalesce(F.when(F.col("_blocks").isNotNull(), matches(plans)), F.array().cast("array<struct<label:string,share:double,least:double>>")))
     out = out.withColumns({"_base": base, "_hits": hits})
     return out.select(
         *keep,
-        F.col("_n").alias(names["n_words"]),
+        F.size("_words").cast("long").alias(names["n_words"]),
         F.size("_hits").cast("long").alias(names["n_base"]),
         (F.array_min("_hits") - 1).cast("long").alias(names["first_word"]),
         (F.array_max("_hits") - 1).cast("long").alias(names["last_word"]),
