@@ -3,11 +3,12 @@
 A line is dropped if the same line, or one within an edit bound of one word (replaced, added or left out), stands earlier in
 the corpus (by doc_id, then place). Blank lines always stay; lines under ``min_words`` words are compared for equality only.
 
-1. Each line becomes two hashes and two anchors, its first and its last five words. Two lines of ten words or more within
-   one word of each other share an anchor, so only lines whose anchor some different line shares go on (none is lost).
-2. Those lines emit all variants within the bound as hashed keys: for each word, the line without it and the word's place
-   (lines that differ in one word meet there), the line without it, and the line itself (lines with a word more meet it).
-   Hashes are of sums over words, so a line's variants cost as much as its words.
+1. Each line becomes two hashes and its anchors, first and last halves. Two lines within one word of each other share the half
+   where they don't differ, so only lines with a half that some different line shares go on (none is lost).
+2. Those lines emit all variants within the bound as hashed keys: for each word of the other half, the line without it and the
+   word's place (lines that differ in one word meet there), the line without it, and the line itself (lines with a word more
+   meet it). Hashes are of sums over words, so a line's variants cost as much as its words. Keys that two different lines
+   have are found first, by an aggregation of hashes alone.
 3. Equal variants are joined. In a group of the first kind any two lines are one replacement apart, so its earliest line
    answers for all others: no pairs within a group. The others are pairs of a longer and a shorter line.
 4. Each pair found is verified on its words, and each line keeps the earliest partner.
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from duewise.llm.common import fresh, small, table, written
 
-ANCHOR = 5
-
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, pos, line) of every line that isn't blank."""
@@ -44,8 +43,15 @@ def words_in(line: Column) -> Column:
 
 
 def anchors(line: Column, min_words: int) -> Column:
-    ends = F.array(F.xxhash64(F.lit(1), F.substring_index(line, " ", ANCHOR)), F.xxhash64(F.lit(2), F.substring_index(line, " ", -ANCHOR)))
-    return F.when(words_in(line) >= min_words, ends).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of a line's first and last halves, cut as for its own number of words and as for one less; the last bit says which half."""
+    n = words_in(line)
+
+    def half(m: Column, last: int) -> Column:
+        p = F.floor(m / 2).cast("int")
+        part = F.call_function("substring_index", line, F.lit(" "), p - m.cast("int") if last else p)
+        return F.shiftleft(F.shiftright(F.xxhash64(F.lit(last), m.cast("int"), part), 1), 1) + F.lit(last)
+
+    return F.when(n >= min_words, F.array(half(n, 0), half(n, 1), half(n - 1, 0), half(n - 1, 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _parts(*salt: Column) -> tuple[Column, Column]:
@@ -59,20 +65,25 @@ def _sum(name: str) -> Column:
     return F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def replaced(lines: DataFrame) -> DataFrame:
-    """A key for each word of a line: the line without it, its place and the number of words."""
-    a, b = _parts(F.lit(True))
-    keyed = lines.withColumns({"a": a, "b": b}).withColumns({"sa": _sum("a"), "sb": _sum("b"), "n": F.size("w")})
-    return keyed.select("doc", "pos", "h1", "h2", F.explode(F.zip_with("a", F.transform("b", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x, y: F.xxhash64("n", y["i"], F.col("sa") - x, F.col("sb") - y["x"]))).alias("key"))
+def variants(lines: DataFrame) -> DataFrame:
+    """(key, role) of each line's variants: 0 without a word, at its place; 1 without a word, of any place; 2 as it is.
+
+    Words of the first half are left out where the last half is shared (``last``), and the other way round (``first``).
+    """
+    (pa, pb), (a, b), n = _parts(F.lit(True)), _parts(), F.size("w")
+    keyed = lines.withColumns({"pa": pa, "pb": pb, "a": a, "b": b}).withColumns({"spa": _sum("pa"), "spb": _sum("pb"), "sa": _sum("a"), "sb": _sum("b")})
 
+    def gone(i: Column) -> Column:
+        return (F.col("last") & (i <= F.floor(n / 2))) | (F.col("first") & (i >= F.floor((n - 1) / 2)))
 
-def without(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys of lines as they are, and of lines less one word."""
-    a, b = _parts()
-    keyed = lines.withColumns({"a": a, "b": b}).withColumns({"sa": _sum("a"), "sb": _sum("b"), "n": F.size("w")})
-    whole = keyed.select("doc", "pos", "h1", "h2", F.xxhash64("n", "sa", "sb").alias("key"))
-    less = keyed.select("doc", "pos", "h1", "h2", F.explode(F.array_distinct(F.zip_with("a", "b", lambda x, y: F.xxhash64(F.col("n") - 1, F.col("sa") - x, F.col("sb") - y)))).alias("key"))
-    return whole, less
+    each = F.filter(F.arrays_zip("pa", "pb", "a", "b"), lambda x, i: gone(i))
+    place = F.filter(F.sequence(F.lit(0), n - 1), gone)
+    at = F.zip_with(each, place, lambda x, i: F.xxhash64(F.lit(0), n, i, F.col("spa") - x["pa"], F.col("spb") - x["pb"]))
+    less = F.array_distinct(F.transform(each, lambda x: F.xxhash64(F.lit(1), n - 1, F.col("sa") - x["a"], F.col("sb") - x["b"])))
+    whole = F.xxhash64(F.lit(1), n, "sa", "sb")
+    tag = lambda keys, role: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(role).cast("byte").alias("role")))
+    all_ = F.concat(tag(at, 0), tag(less, 1), tag(F.array(whole), 2))
+    return keyed.select("doc", "pos", "h1", "h2", F.explode(all_).alias("v")).select("doc", "pos", "h1", "h2", "v.key", "v.role")
 
 
 def one_apart(a: Column, b: Column) -> Column:
@@ -89,21 +100,21 @@ def near(docs: DataFrame, occ: DataFrame, min_words: int, text: str = "text") ->
     keys = occ.select("h1", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("anchor")
     keys = written(keys)
     chosen = occ.select("h1", "h2", "doc", "pos", F.explode("anchors").alias("anchor")).join(small(keys, keys.count()), "anchor", "left_semi")
-    chosen = written(chosen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at")).select("h1", "h2", "at.doc", "at.pos"))
-    few = chosen.count()
-    at = chosen.select(F.col("doc").alias("d"), F.col("pos").alias("p"))
-    said = occurrences(docs, text).join(small(at, few), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")), "left_semi")
-    lines = written(said.select("doc", "pos", *hashes(), F.split("line", " ").alias("w")))
+    side = F.pmod(F.col("anchor"), F.lit(2)) == 1
+    chosen = chosen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.max(~side).alias("first"), F.max(side).alias("last"))
+    chosen = written(chosen.select(F.col("at.doc").alias("d"), F.col("at.pos").alias("p"), "first", "last"))
+    said = occurrences(docs, text).join(small(chosen, chosen.count()), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")))
+    lines = written(said.select("doc", "pos", *hashes(), F.split("line", " ").alias("w"), "first", "last"))
     own = F.struct("doc", "pos", "h1", "h2")
-    variants = replaced(lines)
-    groups = variants.groupBy("key").agg(F.min(own).alias("kept"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key", "kept")
-    same_length = variants.join(groups, "key").filter((F.col("kept.h1") != F.col("h1")) | (F.col("kept.h2") != F.col("h2"))).select("h1", "h2", "doc", "pos", "kept")
-    whole, less = without(lines)
-    whole = whole.select("key", own.alias("short"))
-    pairs = less.select("key", own.alias("long")).join(whole, "key")
-    later, earlier = F.when(F.col("long") > F.col("short"), F.col("long")).otherwise(F.col("short")), F.when(F.col("long") > F.col("short"), F.col("short")).otherwise(F.col("long"))
-    other_length = pairs.select(later.alias("x"), earlier.alias("kept")).select("x.h1", "x.h2", "x.doc", "x.pos", "kept")
-    found = written(same_length.unionByName(other_length).distinct())
+    every = variants(lines)
+    keys = written(every.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key"))
+    met = written(every.join(small(keys, keys.count()), "key", "left_semi"))
+    at = met.filter("role = 0").select("key", own.alias("x"))
+    groups = at.groupBy("key").agg(F.min("x").alias("kept"))
+    same_length = at.join(groups, "key").filter((F.col("kept.h1") != F.col("x.h1")) | (F.col("kept.h2") != F.col("x.h2"))).select("x", "kept")
+    pairs = met.filter("role = 1").select("key", own.alias("long")).join(met.filter("role = 2").select("key", own.alias("short")), "key")
+    other_length = pairs.select(F.greatest("long", "short").alias("x"), F.least("long", "short").alias("kept"))
+    found = written(same_length.unionByName(other_length).select("x.h1", "x.h2", "kept").distinct())
     texts = lines.select("h1", "h2", "w").groupBy("h1", "h2").agg(F.first("w").alias("w"))
     mine, theirs = texts.select("h1", "h2", F.col("w").alias("w1")), texts.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("w").alias("w2"))
     right = found.join(mine, ["h1", "h2"]).join(theirs, (F.col("kept.h1") == F.col("k1")) & (F.col("kept.h2") == F.col("k2"))).filter(one_apart(F.col("w1"), F.col("w2")))
@@ -112,8 +123,6 @@ def near(docs: DataFrame, occ: DataFrame, min_words: int, text: str = "text") ->
 
 def dropped(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
     """(doc, pos, kept_doc, kept_pos, near) of each line to drop and the earlier line that stands for it."""
-    if min_words < 2 * ANCHOR:
-        raise ValueError(f"min_words must be {2 * ANCHOR} or more")
     occ = written(occurrences(docs, text).select("doc", "pos", *hashes(), anchors(F.col("line"), min_words).alias("anchors")))
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "kept")
     bad = first.withColumn("near", F.lit(False)).unionByName(near(docs, occ, min_words, text).withColumn("near", F.lit(True)))

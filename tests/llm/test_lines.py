@@ -58,5 +58,3 @@ def test_extra_columns_repeated_rows_and_empty_tables(spark):
     assert got.columns == ["doc_id", "text", "n_lines", "_n_lines", "n_dropped", "n_near"]
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "a"), (1, "a"), (2, "b")]
     assert lines.dedup(frame.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="min_words"):
-        lines.dedup(frame, min_words=3)
