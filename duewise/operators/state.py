@@ -105,8 +105,8 @@ def common_day(members: DataFrame, residuals: DataFrame, key: list[str]) -> Data
     days = spans.select(*key, F.col("day_from").alias("day_index")).distinct()
     on = spans.join(days, key).filter(F.col("day_index").between(F.col("day_from"), F.col("day_to")))
     amount = on.groupBy(*key, "day_index").agg(F.min("capacity").alias("amount"), F.count(F.lit(1)).alias("have")).join(size, key).filter("have = need")
-    best = amount.groupBy(*key).agg(F.max(F.struct("amount", (-F.col("day_index")).alias("back"))).alias("b"))
-    return best.select(*key, F.col("b.amount").alias("amount_cents"), (-F.col("b.back")).alias("day_index"))
+    best = amount.groupBy(*key).agg(F.max(F.struct("amount", (-F.col("day_index")).alias("back"))).alias("_best"))
+    return best.select(*key, F.col("_best.amount").alias("amount_cents"), (-F.col("_best.back")).alias("day_index"))
 
 
 def consume(residuals: DataFrame, wanted: DataFrame) -> DataFrame:
