@@ -137,9 +137,8 @@ def dedup(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFr
     names = [fresh(x, docs.columns) for x in ("n_lines", "n_dropped", "n_near")]
     gone = dropped(docs, min_words=min_words, text=text)
     gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("_near"))
-    gone = written(gone)
     t = F.col(f"`{text}`")
-    out = docs.join(small(gone, 10 * gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
     parts = F.split(t, "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     kept = F.when(F.col("_gone").isNull(), t).otherwise(left)
