@@ -61,8 +61,8 @@ class Market:
                 self.close[self.due[k] + 1].append(k)
             self.live: dict[int, list[int]] = defaultdict(list)
 
-    def dawn(self, day: int) -> bool:
-        """Moves to ``day``; whether anything was issued that day (capacities only fall otherwise)."""
+    def dawn(self, day: int) -> set[int]:
+        """Moves to ``day``; the edges on which something was issued that day. All other capacities only fall."""
         for k in self.close[day]:
             self.cap[self.edge[k]] -= self.left[k]
             if k in self.live[self.edge[k]]:
@@ -70,7 +70,7 @@ class Market:
         for k in self.open[day]:
             self.cap[self.edge[k]] += self.left[k]
             bisect.insort(self.live[self.edge[k]], k)  # records are numbered in consumption order within an edge
-        return bool(self.open[day])
+        return {self.edge[k] for k in self.open[day]}
 
     def take(self, edge: int, day: int, amount: int) -> list[tuple]:
         """Consumes ``amount`` of the records active on ``day``, in consumption order; their fragments."""
@@ -161,18 +161,18 @@ def _move(market: Market, log: Log, day: int, firm: int, key: tuple) -> None:
     log.add(market, "path", day, -key[1], (key[5], key[6]), parties=(key[3], firm, key[4]))
 
 
-def local_day(market: Market, log: Log, day: int) -> None:
+def local_day(market: Market, log: Log, day: int, firms: list[int]) -> None:
     """Firm by firm, its best path again and again until none is left."""
-    for firm in market.middle:
+    for firm in firms:
         crossing = Crossing(market, firm)
         while (key := crossing.best()) is not None:
             _move(market, log, day, firm, key)
             crossing.refresh(key)
 
 
-def amount_day(market: Market, log: Log, day: int) -> None:
+def amount_day(market: Market, log: Log, day: int, firms: list[int]) -> None:
     """Firm by firm, the largest edge in with the largest edge out, whoever stands at their ends."""
-    for firm in market.middle:
+    for firm in firms:
         crossing = Crossing(market, firm)
         while crossing.ins and crossing.outs:
             i, o = crossing.ins[0], crossing.outs[0]
@@ -181,9 +181,9 @@ def amount_day(market: Market, log: Log, day: int) -> None:
             crossing.refresh(key)
 
 
-def global_day(market: Market, log: Log, day: int) -> None:
+def global_day(market: Market, log: Log, day: int, firms: list[int]) -> None:
     """The best path of all firms; a firm's candidate is looked at again only when its turn comes."""
-    queue = [(key, firm) for firm in market.middle if (key := Crossing(market, firm).best()) is not None]
+    queue = [(key, firm) for firm in firms if (key := Crossing(market, firm).best()) is not None]
     heapq.heapify(queue)
     while queue:
         key, firm = heapq.heappop(queue)
@@ -195,10 +195,10 @@ def global_day(market: Market, log: Log, day: int) -> None:
             heapq.heappush(queue, (now, firm))
 
 
-def cycle_day(market: Market, log: Log, day: int, cycles: list[tuple]) -> None:
-    """The cycle that clears most, again and again; amounts only fall, so an outdated entry is re-ranked when it comes up."""
+def cycle_day(market: Market, log: Log, day: int, cycles: list[tuple], chosen: list[int]) -> None:
+    """The cycle that clears most of those ``chosen``, again and again; amounts only fall, so an outdated entry is re-ranked when it comes up."""
     low = lambda edges: min(market.cap[e] for e in edges)
-    queue = [(-len(n) * q, len(n), n, k) for k, (n, edges) in enumerate(cycles) if (q := low(edges)) > 0]
+    queue = [(-len(cycles[k][0]) * q, len(cycles[k][0]), cycles[k][0], k) for k in chosen if (q := low(cycles[k][1])) > 0]
     heapq.heapify(queue)
     while queue:
         score, size, nodes, k = heapq.heappop(queue)
@@ -246,11 +246,20 @@ def clear(rows: pd.DataFrame, cycles: list[tuple], policy: str, horizon: int) ->
             "path_daily_local": [local_day], "path_daily": [global_day], "path_daily_amount": [amount_day], "cycle_daily": [cycle_day], "mixed_cycle_then_path": [cycle_day, global_day],
             "mixed_path_then_cycle": [global_day, cycle_day],
         }[policy]
+        on_edge: dict[int, list[int]] = defaultdict(list)
+        for k, (_, edges) in enumerate(cycles):
+            for e in edges:
+                on_edge[e].append(k)
+        middle = set(market.middle)
         for day in range(horizon):
-            if not market.dawn(day):
-                continue  # nothing new: yesterday's fixed point holds, as capacities have only fallen
+            # The day before ended at a fixed point and capacities have only fallen but where something was issued: nothing
+            # else can have become possible.
+            if not (new := market.dawn(day)):
+                continue
+            firms = sorted({f for e in new for f in market.ends[e]} & middle)
+            chosen = sorted({k for e in new for k in on_edge[e]})
             for step in steps:
-                step(market, log, day, cycles) if step is cycle_day else step(market, log, day)
+                step(market, log, day, cycles, chosen) if step is cycle_day else step(market, log, day, firms)
     return log.rows
 
 

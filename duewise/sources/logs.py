@@ -43,7 +43,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     ops = spark.read.schema(f"component bigint, op_seq bigint, {OPERATIONS}").json(path)
     if not ops.filter("kind is null or day_index is null or amount_cents is null").isEmpty():
         raise RecordError("operations need kind, day_index and amount_cents")
-    return ops
+    # a log without our numbering counts its lines
+    return ops.withColumns({"component": F.coalesce("component", F.lit(0).cast("bigint")), "op_seq": F.coalesce("op_seq", F.monotonically_increasing_id())})
 
 
 def write_cycles(cycles: DataFrame, path: str, topology: str, bound: int) -> None:
