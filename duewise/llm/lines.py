@@ -42,9 +42,8 @@ def words_in(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def anchors(line: Column, min_words: int) -> Column:
-    """Hashes of a line's first and last halves, cut as for its own number of words and as for one less; the last bit says which half."""
-    n = words_in(line)
+def anchors(line: Column, n: Column, min_words: int) -> Column:
+    """Hashes of the first and last halves of a line of ``n`` words, cut as for ``n`` and as for one less; the last bit says which half."""
 
     def half(m: Column, last: int) -> Column:
         p = F.floor(m / 2).cast("int")
@@ -123,7 +122,8 @@ def near(docs: DataFrame, occ: DataFrame, min_words: int, text: str = "text") ->
 
 def dropped(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
     """(doc, pos, kept_doc, kept_pos, near) of each line to drop and the earlier line that stands for it."""
-    occ = written(occurrences(docs, text).select("doc", "pos", *hashes(), anchors(F.col("line"), min_words).alias("anchors")))
+    rows = occurrences(docs, text).withColumn("n", words_in(F.col("line")))  # a column, so that it is counted once a line
+    occ = written(rows.select("doc", "pos", *hashes(), anchors(F.col("line"), F.col("n"), min_words).alias("anchors")))
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "kept")
     bad = first.withColumn("near", F.lit(False)).unionByName(near(docs, occ, min_words, text).withColumn("near", F.lit(True)))
     bad = written(bad.groupBy("h1", "h2").agg(F.max(F.struct("near", "kept")).alias("x")).select("h1", "h2", "x.kept", "x.near"))
