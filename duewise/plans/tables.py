@@ -284,11 +284,11 @@ def _years(spark, d) -> tuple[dict[int, DataFrame], int, int]:
 
 
 def rolling_cohorts(spark, d):
-    """The last three cohorts, path method."""
+    """All cohorts that have a next year to bridge into, path method."""
     import datetime as dt
 
-    years, _, last = _years(spark, d)
-    out = phases.rolling_cohorts(years, last - 3, last - 1, dt.date(last, 2, 8), "path")
+    years, first, last = _years(spark, d)
+    out = phases.rolling_cohorts(years, first, last - 1, dt.date(last, 2, 8), "path")
     return spark.createDataFrame([{k: v for k, v in c.items() if not k.endswith("seconds") and v is not None} for c in out.cohorts])
 
 
