@@ -154,20 +154,28 @@ def topology_degrees(spark, d):
     return graph.degrees(_pairs(invoices(spark, d)))
 
 
-def _links(spark, d) -> DataFrame:
-    return _edges(_issued(invoices(spark, d), MONTH)).select(F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b"))
+def _links(records: DataFrame) -> DataFrame:
+    return _edges(records).select(F.col("u").cast("bigint").alias("a"), F.col("v").cast("bigint").alias("b"))
 
 
 def weak_parts(spark, d):
-    return weak_components(_links(spark, d))
+    return weak_components(_links(_issued(invoices(spark, d), MONTH)))
 
 
 def strong_parts(spark, d):
-    return strong_components(_links(spark, d))
+    return strong_components(_links(_issued(invoices(spark, d), MONTH)))
+
+
+def weak_parts_all(spark, d):
+    return weak_components(_links(invoices(spark, d)))
+
+
+def strong_parts_all(spark, d):
+    return strong_components(_links(invoices(spark, d)))
 
 
 def topology(spark, d):
-    return graph.topology(_issued(invoices(spark, d), MONTH))
+    return graph.topology(invoices(spark, d))
 
 
 def _reciprocal_day(records: DataFrame):
@@ -236,12 +244,23 @@ def representative_days(spark, d):
     return lp.representative_days(_residuals(invoices(spark, d), YEAR), 365)
 
 
-def lp_model_size(spark, d):
-    """Size of the bilateral model of the month's issues."""
-    records = _issued(invoices(spark, d), MONTH)
+def _model_size(records: DataFrame, span: tuple[str, str], days: int) -> DataFrame:
     pairs = graph.reciprocal_pairs(_edges(records))
     moves = pairs.select(F.concat_ws("-", "a", "b").alias("label"), F.lit(2).alias("pmr_per_unit"), F.array("forward_edge", "back_edge").alias("edges"))
-    return lp.model_size(lp.variables(st.State(records, records, _residuals(records, MONTH), MONTH[0], 31), moves))
+    return lp.model_size(lp.variables(st.State(records, records, _residuals(records, span), span[0], days), moves))
+
+
+def lp_model_size(spark, d):
+    """Size of the bilateral model of the month's issues."""
+    return _model_size(_issued(invoices(spark, d), MONTH), MONTH, 31)
+
+
+def lp_model_size_all(spark, d):
+    """Size of the bilateral model of all records, from the first issue to the last due date."""
+    records = invoices(spark, d)
+    first, last = records.agg(F.min("issue_date"), F.max("due_date")).first()
+    span = (str(first), str(last)) if first else YEAR
+    return _model_size(records, span, (last - first).days + 1 if first else 365)
 
 
 def event_days(spark, d):
@@ -255,8 +274,8 @@ def event_days(spark, d):
 def _policy(name: str):
     def query(spark, d):
         records = invoices(spark, d)
-        span = MONTH if "offline" in name else YEAR
-        if "offline" in name or name.startswith(("cycle", "mixed")):
+        span = MONTH if name == "cycle_offline" else YEAR
+        if name.startswith(("cycle", "mixed")):
             records = _issued(records, MONTH)
         state = st.build_state(records, *span)
         loops = phases.feasible_cycles(state, 5)[0] if name.startswith(("cycle", "mixed")) else None
@@ -268,12 +287,12 @@ def _policy(name: str):
 
 
 def path_curve(spark, d):
-    state = st.build_state(_issued(invoices(spark, d), MONTH), *YEAR)
+    state = st.build_state(invoices(spark, d), *YEAR)
     return att.dated(att.pmr_curve(run_policy(state, "path_daily_local"), state.horizon), YEAR[0])
 
 
 def operation_log(spark, d):
-    state = st.build_state(_issued(invoices(spark, d), MONTH), *MONTH)
+    state = st.build_state(invoices(spark, d), *YEAR)
     return operations(run_policy(state, "path_daily_local"))
 
 
@@ -319,6 +338,6 @@ QUERIES = {
     "topology_degrees": topology_degrees, "weak_components": weak_parts, "strong_components": strong_parts, "topology": topology, "single_day_bilateral_clearing": single_day_bilateral_clearing,
     "waterfall_consumption": waterfall_consumption, "fifo_leg_pairing": fifo_leg_pairing, "residuals_after_day": residuals_after_day, "cohort_attribution_rules": cohort_attribution_rules, "consumption_ledger": consumption_ledger,
     "best_path_per_intermediary": best_path_per_intermediary, "representative_days": representative_days, "lp_model_size": lp_model_size, "event_days": event_days, "path_curve": path_curve, "operation_log": operation_log,
-    "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
+    "weak_components_all": weak_parts_all, "strong_components_all": strong_parts_all, "lp_model_size_all": lp_model_size_all, "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
     **{f"policy_{p}": _policy(p) for p in ("path_daily_local", "path_daily", "path_daily_amount", "path_offline_local", "path_offline", "path_offline_amount", "cycle_daily", "cycle_offline", "mixed_cycle_then_path", "mixed_path_then_cycle")},
 }

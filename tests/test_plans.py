@@ -9,7 +9,7 @@ from duewise.operators import attribution as att
 from duewise.operators import clearing, graph
 from duewise.operators.components import strong_components, weak_components
 from duewise.operators.state import build_state, capacity_by_day
-from duewise.plans import bound, phases, run
+from duewise.plans import bound, phases, run, tables
 from duewise.sinks import files
 from duewise.sources import logs
 from duewise.streaming import arrivals
@@ -121,6 +121,24 @@ def test_topology_and_capacities(six):
     assert sorted(r["count"] for r in days) == [3, 3, 5, 6, 7, 10]
 
 
+def test_queries_over_whole_tables(spark, tmp_path):
+    day = dt.date.fromisoformat
+    rows = [(0, 1, "1995-05-01", "1995-06-01"), (2, 1, "1995-05-02", "1995-06-01"), (1, 2, "1995-05-03", "1995-05-20"), (1, 2, "1998-06-01", "1998-06-10"), (2, 3, "1998-06-02", "1998-06-12")]
+    spark.createDataFrame([(k,) for k in range(4)], "s_suppkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, u, day(i)) for k, (u, _, i, _) in enumerate(rows)], "o_orderkey int, o_custkey int, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, 1, 1, v, 1.0, 10.0, 0.0, 0.0, "N", "O", day(j)) for k, (_, v, _, j) in enumerate(rows)]
+    names = "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run_query = lambda name: tables.QUERIES[name](spark, str(tmp_path)).collect()
+    assert (run_query("topology")[0]["firms"], run_query("topology")[0]["edges"]) == (4, 4)
+    assert {r["node"]: r["component"] for r in run_query("weak_components_all")} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert {r["node"]: r["component"] for r in run_query("strong_components_all")} == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert run_query("lp_model_size_all")[0]["capacity_rows"] == 2
+    assert [r["pmr_cents"] for r in run_query("operation_log")] == [1000]
+    assert max(r["pmr_cents"] for r in run_query("path_curve")) == 1000
+    assert run_query("policy_path_offline")[0]["pmr_cents"] == 1000
+
+
 def test_run_command_logs_and_cache(spark, six, tmp_path):
     files.write_atomic_csv(six, f"{tmp_path}/in.csv", one_file=True)
     options = {"bound": 8, "cache": f"{tmp_path}/cycles"}
