@@ -1,6 +1,7 @@
 """BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
-``lexicon_words`` counts the pieces of every text and keeps the most frequent ones; ``Lexicon.build`` encodes them by
+``lexicon_words`` counts the pieces of every text and keeps the most frequent ones (the cut is found in the cluster; only the
+words kept, a bounded number, reach the driver); ``Lexicon.build`` encodes them by
 exact merging and compiles them into a minimal acyclic automaton, suffixes shared, whose paths number the words in order
 (each arc knows how many words lie before it); that number leads to the word's ids. The bytes are broadcast (their size is
 bounded by the number of words), written by each Python worker to a file of its own, memory-mapped and unlinked.
@@ -33,16 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from duewise.llm.common import fresh, table
+from duewise.llm.common import fresh, table, written
 
 #: How this kind of vocabulary cuts a normalised text into pieces, and what it takes for white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
 ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 WORD_END = "</w>"
+STOPS = frozenset(".,;:!?")
 
 LEXICON_WORDS = 150_000
-MEMO = 400_000
+MEMO = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -225,44 +227,63 @@ def chunks(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes in one Python worker; what a piece gives is remembered, up to MEMO pieces."""
+    """Encodes and decodes in one Python worker; what a piece gives is remembered: lexicon words for good, others up to MEMO."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
 
     def piece(self, piece: str) -> tuple[str, str]:
         """Ids and tokens of a piece, both joined by blanks."""
         if (got := self.memo.get(piece)) is None:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= MEMO + len(self.known):
                 self.memo.clear()
-            ids = self.lexicon.find(piece)
-            if ids is None:
-                ids = self.vocabulary.merge(piece)
+                self.memo.update(self.known)
+            found = self.lexicon.find(piece)
+            ids = self.vocabulary.merge(piece) if found is None else found
             got = self.memo[piece] = " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids))
+            if found is not None:
+                self.known[piece] = got
         return got
 
+    def chunk(self, chunk: str) -> tuple[str, str]:
+        """The same of a chunk; most that aren't one piece are a word seen before and a stop after it."""
+        if chunk[-1] in STOPS and chunk[-2:-1].isalpha() and (word := self.memo.get(chunk[:-1])) and word[0]:
+            found = [word, self.piece(chunk[-1])]
+        else:
+            found = [self.piece(p) for p in PIECES.findall(chunk)]
+        return " ".join([x for x, _ in found if x]), " ".join([y for x, y in found if x])
+
     def text(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, decimal ids and decoded text (both joined by blanks) of a whole text."""
         text = text or ""
-        get, found = self.memo.get, []
+        get, chunk, found = self.memo.get, self.chunk, []
         parts = self.special.split(text) if self.special and "<" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 found.append((str(self.vocabulary.special[part]), part))
-                continue
-            for c in chunks(part):
-                if got := get(c):  # most chunks are one piece seen before
-                    found.append(got)
-                else:
-                    found += map(self.piece, PIECES.findall(c))
-        ids = " ".join([x for x, _ in found if x])
-        return ids.count(" ") + 1 if ids else 0, ids, " ".join([y for x, y in found if x])
+            else:
+                found += [get(c) or chunk(c) for c in chunks(part)]
+        ids = " ".join([x[0] for x in found if x[0]])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in found if x[0]])
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(name: str, sent) -> Codec:
+    """This worker's codec for a broadcast vocabulary and lexicon; the worker's next tasks find it with what it remembers."""
+    if name not in _codecs:
+        _codecs.clear()
+        vocabulary, lexicon = sent.value
+        _codecs[name] = Codec(vocabulary, Lexicon.mapped(lexicon))
+    return _codecs[name]
 
 
 def lexicon_words(texts: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
-    """The ``size`` most frequent pieces of all of ``texts`` (its one column), ties in code-point order."""
+    """The most frequent pieces of all of ``texts`` (its one column): all that stand more than once and as often as some count, at most ``size``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -282,8 +303,24 @@ def lexicon_words(texts: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
                     yield out()
         yield out()
 
-    counts = texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in counts.orderBy(F.desc("n"), "piece").limit(size).collect()]
+    counts = written(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1"))
+    return [r["piece"] for r in counts.filter(F.col("n") >= least_count(counts, size)).orderBy("piece").collect()]
+
+
+def least_count(counts: DataFrame, size: int) -> int:
+    """The smallest count ``n`` that at most ``size`` rows reach: its magnitude by a histogram, then halving."""
+    sizes = {r["bits"]: r["count"] for r in counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()}
+    for bits in sorted(sizes, reverse=True):
+        if sizes[bits] > size:
+            break
+        size -= sizes[bits]
+    else:
+        return 1
+    low, high = 1 << bits - 1, 1 << bits
+    while high - low > 1:
+        half = (low + high) // 2
+        low, high = (low, half) if counts.filter((F.col("n") >= half) & (F.col("n") < 1 << bits)).count() <= size else (half, high)
+    return high
 
 
 def as_array(ids: str) -> np.ndarray:
@@ -297,22 +334,21 @@ class Operator:
         self.vocabulary = Vocabulary(path)
         entries = {w: self.vocabulary.merge(w) for w in lexicon_words(docs.select(text), words)}
         self.lexicon, self.column = Lexicon.build(entries), text
-        context = docs.sparkSession.sparkContext
-        self.sent = context.broadcast((self.vocabulary, self.lexicon))
+        self.name = hashlib.sha256(self.lexicon + json.dumps(self.vocabulary.ids).encode()).hexdigest()
+        self.sent = docs.sparkSession.sparkContext.broadcast((self.vocabulary, self.lexicon))
 
     def each(self, docs: DataFrame, fields: dict[str, tuple[str, object]], keep: list[str]) -> DataFrame:
         """``keep`` of ``docs`` and, by name in ``fields``, a type and what to make of a text's (n, ids, tokens)."""
-        sent, column, make = self.sent, self.column, {k: f for k, (_, f) in fields.items()}
+        sent, name, column, make = self.sent, self.name, self.column, {k: f for k, (_, f) in fields.items()}
         out = T.StructType([docs.schema[c] for c in keep] + [T.StructType.fromDDL(f"x {t}")[0] for t, _ in fields.values()])
-        for f, name in zip(out.fields[len(keep) :], fields, strict=True):
-            f.name = name
+        for f, field in zip(out.fields[len(keep) :], fields, strict=True):
+            f.name = field
         out = T.StructType(out.fields)
         kinds = [f.dataType for f in out.fields[len(keep) :]]
         source = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{column}`").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, lexicon = sent.value
-            codec = Codec(vocabulary, Lexicon.mapped(lexicon))
+            codec = codec_of(name, sent)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):  # so that few decoded texts are held at once
                     part = batch.slice(at, 256)

@@ -18,7 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix": mixing.op7_mix,
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_jaccard": jaccard.op9_jaccard,
-    "op9_links": jaccard.op9_links,
     "op10_bpe": bpe.op10_bpe,
 }
 
@@ -36,6 +35,5 @@ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both_ FROM s p JOIN s q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id),
 pairs AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)), {_PARTS}
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON node = d.doc_id""",
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links, coalesce(component, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON node = d.doc_id""",
 }
-ORACLE_SQL["op9_links"] = ORACLE_SQL["op9_jaccard"].replace("coalesce(n, 0) AS n_shingles", "(SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links")

@@ -79,3 +79,10 @@ def test_sf_table(spark):
     got = {r["doc_id"]: r["ids_sha256"] for r in bpe.op10_bpe(spark, "/root/testdata/sf0.001").collect()}
     for i, text in duckdb.sql(f"select doc_id, text from '{path}'").fetchall():
         assert got[i] == hashlib.sha256(expected(text)[1].encode()).hexdigest()
+
+
+def test_lexicon_words_are_those_over_a_count(spark):
+    rows = [(" ".join(["aa"] * 9 + ["bb"] * 5 + ["cc"] * 5 + ["dd"] * 4 + ["ee"]),)]
+    frame = spark.createDataFrame(rows, "text string")
+    for size, want in [(0, []), (1, ["aa"]), (2, ["aa"]), (3, ["aa", "bb", "cc"]), (4, ["aa", "bb", "cc", "dd"]), (9, ["aa", "bb", "cc", "dd"])]:
+        assert bpe.lexicon_words(frame, size) == want
