@@ -12,21 +12,26 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="duewise-shared-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder; lineage ends there, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/duewise-{uuid.uuid4().hex}"
+    """``df`` as a table in the shared folder; lineage ends there, lost executors lose nothing. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/duewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
