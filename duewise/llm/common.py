@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duewise.storage import small, written
+
+__all__ = ["ascii_lower", "fresh", "small", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        found = tempfile.mkdtemp(prefix="duewise-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there and it survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/duewise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows up to which a small side table is broadcast; counted before use, and beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z alone lower-cased; null becomes the empty string."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,24 +1,28 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame functions only.
 
-A line is dropped if the same line, or one within an edit bound of one word (replaced, added or left out), stands earlier in
-the corpus (by doc_id, then place). Blank lines always stay; lines under ``min_words`` words are compared for equality only.
+A line is dropped if the same line, or one within the edit bound, stands earlier in the corpus. The bound is one edit (a unit
+replaced, added or left out) in lines of at least ``units`` units, so that with 5 four fifths stay equal. Units are words; where
+both lines have fewer than ``units`` words, they are characters. So every line is compared at the finest unit that the bound
+allows, and only lines of fewer than ``units`` characters, of which an edit would change more, must be equal. Blank lines stay.
 
-1. Each line becomes two hashes and its anchors, first and last halves. Two lines within one word of each other share the half
+Rows are told apart by a number of their own, not by doc_id: earlier means by doc_id (nulls first), then by row, then by place.
+
+1. Each line becomes two hashes and its anchors, first and last halves. Two lines within one edit of each other share the half
    where they don't differ, so only lines with a half that some different line shares go on (none is lost).
-2. Those lines emit all variants within the bound as hashed keys: for each word of the other half, the line without it and the
-   word's place (lines that differ in one word meet there), the line without it, and the line itself (lines with a word more
-   meet it). Hashes are of sums over words, so a line's variants cost as much as its words. Keys that two different lines
-   have are found first, by an aggregation of hashes alone.
+2. Those lines emit all variants within the bound as hashed keys: for each unit of the other half, the line without it, once
+   with its place (lines that differ in one unit meet there) and once without (the line with one unit less, which emits itself,
+   meets it). Keys that two different lines have are found first, by an aggregation of hashes alone.
 3. Equal variants are joined. In a group of the first kind any two lines are one replacement apart, so its earliest line
-   answers for all others: no pairs within a group. The others are pairs of a longer and a shorter line.
-4. Each pair found is verified on its words, and each line keeps the earliest partner.
+   answers for all others: no pairs within a group. A key of the second kind is one shorter line's and its longer lines'.
+4. Each pair found is verified by its edit distance, and each line keeps the earliest partner.
 
-Scale: groups are aggregated before shuffling, joins on hot keys can be split, and texts are shuffled once, by doc_id, to
-take the lines out. Small side tables are broadcast after counting them; otherwise the join shuffles.
+Scale: rows are written once with their numbers; groups are aggregated before shuffling, joins on hot keys can be split, and
+texts are shuffled once, by row, to take the lines out. Small side tables are broadcast after counting them; otherwise the
+join shuffles.
 
-Edge cases: null texts stay null, empty texts empty; rows with one doc_id count as one document and lose the same lines, a
-null doc_id counts as one document that comes first; an empty table gives an empty result; other columns are carried along,
-and the columns added take other names if theirs are taken.
+Edge cases: null texts stay null, empty texts empty; rows that share a doc_id or have none are rows of their own, so of rows
+alike in everything the first stays whole; an empty table gives an empty result; other columns are carried along, and the
+columns added take other names if theirs are taken.
 """
 
 from __future__ import annotations
@@ -28,10 +32,13 @@ from pyspark.sql import functions as F
 
 from duewise.llm.common import fresh, small, table, written
 
+UNITS = 5
+WORD, CHARACTER = 0, 1
+
 
-def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, pos, line) of every line that isn't blank."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+def occurrences(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, row, pos, line) of every line that isn't blank. ``rows``: _row, doc_id and ``text``."""
+    return rows.select(F.col("doc_id").cast("long").alias("doc"), F.col("_row").alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line")).filter(F.trim("line") != "")
 
 
 def hashes() -> list[Column]:
@@ -42,47 +49,62 @@ def words_in(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def anchors(line: Column, n: Column, min_words: int) -> Column:
-    """Hashes of the first and last halves of a line of ``n`` words, cut as for ``n`` and as for one less; the last bit says which half."""
+def head(line: Column, kind: Column | int, k: Column) -> Column:
+    """The first ``k`` units of a line."""
+    words = F.call_function("substring_index", line, F.lit(" "), k)
+    letters = F.substr(line, F.lit(1), k)
+    return (words if kind == WORD else letters) if isinstance(kind, int) else F.when(kind == WORD, words).otherwise(letters)
 
-    def half(m: Column, last: int) -> Column:
-        p = F.floor(m / 2).cast("int")
-        part = F.call_function("substring_index", line, F.lit(" "), p - m.cast("int") if last else p)
-        return F.shiftleft(F.shiftright(F.xxhash64(F.lit(last), m.cast("int"), part), 1), 1) + F.lit(last)
 
-    return F.when(n >= min_words, F.array(half(n, 0), half(n, 1), half(n - 1, 0), half(n - 1, 1))).otherwise(F.array().cast("array<bigint>"))
+def tail(line: Column, kind: Column | int, k: Column) -> Column:
+    """The last ``k`` units of a line."""
+    words = F.call_function("substring_index", line, F.lit(" "), -k)
+    letters = F.right(line, k)
+    return (words if kind == WORD else letters) if isinstance(kind, int) else F.when(kind == WORD, words).otherwise(letters)
 
 
-def _parts(*salt: Column) -> tuple[Column, Column]:
-    """Two hashes of 40 bits of each word, so that a line's sums stay within a long."""
-    first = F.transform("w", lambda x, i: F.shiftrightunsigned(F.xxhash64(F.lit(3), *([i] if salt else []), x), 24))
-    second = F.transform("w", lambda x, i: F.shiftrightunsigned(F.xxhash64(F.lit(4), *([i] if salt else []), x), 24))
-    return first, second
+def anchors(line: Column, words: Column, units: int) -> Column:
+    """Hashes of the first and last halves of a line, cut as for its number of units and for one less; the last bit says which half.
 
+    Lines of ``units - 1`` words and more are cut by words, those of fewer than ``units`` by characters (some by both).
+    """
 
-def _sum(name: str) -> Column:
-    return F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+    def half(kind: int, m: Column, last: int) -> Column:
+        p = F.floor(m / 2).cast("int")
+        part = tail(line, kind, m - p) if last else head(line, kind, p)
+        return F.shiftleft(F.shiftright(F.xxhash64(F.lit(2 * kind + last), m, part), 1), 1) + F.lit(last)
 
+    def halves(kind: int, n: Column) -> Column:
+        return F.array(half(kind, n, 0), half(kind, n, 1), half(kind, n - 1, 0), half(kind, n - 1, 1))
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(key, role) of each line's variants: 0 without a word, at its place; 1 without a word, of any place; 2 as it is.
+    none, n, letters = F.array().cast("array<bigint>"), words.cast("int"), F.length(line)
+    by_words = F.when(n >= units - 1, halves(WORD, n)).otherwise(none)
+    return F.when(n >= units, halves(WORD, n)).otherwise(F.concat(by_words, F.when(letters >= units - 1, halves(CHARACTER, letters)).otherwise(none)))
 
-    Words of the first half are left out where the last half is shared (``last``), and the other way round (``first``).
-    """
-    (pa, pb), (a, b), n = _parts(F.lit(True)), _parts(), F.size("w")
-    keyed = lines.withColumns({"pa": pa, "pb": pb, "a": a, "b": b}).withColumns({"spa": _sum("pa"), "spb": _sum("pb"), "sa": _sum("a"), "sb": _sum("b")})
 
-    def gone(i: Column) -> Column:
-        return (F.col("last") & (i <= F.floor(n / 2))) | (F.col("first") & (i >= F.floor((n - 1) / 2)))
+def variants(lines: DataFrame, units: int) -> DataFrame:
+    """(key, role) of each line's variants: 0 without a unit, at its place; 1 without a unit; 2 as it is.
 
-    each = F.filter(F.arrays_zip("pa", "pb", "a", "b"), lambda x, i: gone(i))
-    place = F.filter(F.sequence(F.lit(0), n - 1), gone)
-    at = F.zip_with(each, place, lambda x, i: F.xxhash64(F.lit(0), n, i, F.col("spa") - x["pa"], F.col("spb") - x["pb"]))
-    less = F.array_distinct(F.transform(each, lambda x: F.xxhash64(F.lit(1), n - 1, F.col("sa") - x["a"], F.col("sb") - x["b"])))
-    whole = F.xxhash64(F.lit(1), n, "sa", "sb")
-    tag = lambda keys, role: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(role).cast("byte").alias("role")))
-    all_ = F.concat(tag(at, 0), tag(less, 1), tag(F.array(whole), 2))
-    return keyed.select("doc", "pos", "h1", "h2", F.explode(all_).alias("v")).select("doc", "pos", "h1", "h2", "v.key", "v.role")
+    Units of the first half are left out where the last half is shared (``last``), and the other way round (``first``).
+    """
+    n = words_in(F.col("line"))
+    kinds = F.when(n >= units, F.array(F.lit(WORD))).when(n == units - 1, F.array(F.lit(WORD), F.lit(CHARACTER))).otherwise(F.array(F.lit(CHARACTER)))
+    each = lines.withColumn("kind", F.explode(kinds)).withColumn("n", F.when(F.col("kind") == WORD, words_in(F.col("line"))).otherwise(F.length("line")).cast("int"))
+    line, kind, n = F.col("line"), F.col("kind"), F.col("n")
+    gone = lambda i: (F.col("last") & (i <= F.floor(n / 2))) | (F.col("first") & (i >= F.floor((n - 1) / 2)))
+
+    def without(i: Column) -> Column:
+        gap = F.when((kind == WORD) & (i > 0) & (i < n - 1), " ").otherwise("")
+        return F.concat(head(line, kind, i), gap, tail(line, kind, n - 1 - i))
+
+    places = F.filter(F.sequence(F.lit(0), n - 1), gone)
+    less = F.transform(places, lambda i: F.struct(i.alias("i"), without(i).alias("x")))
+    each = each.withColumn("less", F.when(n >= units, less).otherwise(F.array().cast("array<struct<i:int,x:string>>")))
+    tag = lambda key, role: F.struct(key.alias("key"), F.lit(role).cast("byte").alias("role"))
+    at = F.transform("less", lambda v: tag(F.xxhash64(F.lit(0), kind, n, v["i"], v["x"]), 0))
+    alone = F.array_distinct(F.transform("less", lambda v: tag(F.xxhash64(F.lit(1), kind, v["x"]), 1)))
+    whole = F.array(tag(F.xxhash64(F.lit(1), kind, line), 2))
+    return each.select("doc", "row", "pos", "h1", "h2", F.explode(F.concat(at, alone, whole)).alias("v")).select("doc", "row", "pos", "h1", "h2", "v.key", "v.role")
 
 
 def one_apart(a: Column, b: Column) -> Column:
@@ -94,18 +116,25 @@ def one_apart(a: Column, b: Column) -> Column:
     return F.when(at == 0, n == m).when(n == m, rest(a, at + 1) == rest(b, at + 1)).when(n == m + 1, rest(a, at + 1) == rest(b, at)).when(m == n + 1, rest(a, at) == rest(b, at + 1)).otherwise(False)
 
 
-def near(docs: DataFrame, occ: DataFrame, min_words: int, text: str = "text") -> DataFrame:
-    """(h1, h2, kept) of lines that have an earlier line within one word: kept is the earliest such line's (doc, pos, h1, h2)."""
+def within_bound(a: Column, b: Column, units: int) -> Column:
+    """Whether two lines are within the edit bound."""
+    by_words = F.greatest(words_in(a), words_in(b)) >= units
+    letters = (F.greatest(F.length(a), F.length(b)) >= units) & (F.levenshtein(a, b, 1) >= 0)
+    return F.when(by_words, one_apart(F.split(a, " "), F.split(b, " "))).otherwise(letters)
+
+
+def near(rows: DataFrame, occ: DataFrame, units: int, text: str = "text") -> DataFrame:
+    """(h1, h2, kept) of lines that have an earlier line within the bound: kept is the earliest such line's (doc, row, pos)."""
     keys = occ.select("h1", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("anchor")
     keys = written(keys)
-    chosen = occ.select("h1", "h2", "doc", "pos", F.explode("anchors").alias("anchor")).join(small(keys, keys.count()), "anchor", "left_semi")
+    chosen = occ.select("h1", "h2", "doc", "row", "pos", F.explode("anchors").alias("anchor")).join(small(keys, keys.count()), "anchor", "left_semi")
     side = F.pmod(F.col("anchor"), F.lit(2)) == 1
-    chosen = chosen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.max(~side).alias("first"), F.max(side).alias("last"))
-    chosen = written(chosen.select(F.col("at.doc").alias("d"), F.col("at.pos").alias("p"), "first", "last"))
-    said = occurrences(docs, text).join(small(chosen, chosen.count()), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")))
-    lines = written(said.select("doc", "pos", *hashes(), F.split("line", " ").alias("w"), "first", "last"))
-    own = F.struct("doc", "pos", "h1", "h2")
-    every = variants(lines)
+    chosen = chosen.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.max(~side).alias("first"), F.max(side).alias("last"))
+    chosen = written(chosen.select(F.col("at.row").alias("row"), F.col("at.pos").alias("pos"), "first", "last"))
+    said = occurrences(rows, text).join(small(chosen, chosen.count()), ["row", "pos"])
+    lines = written(said.select("doc", "row", "pos", *hashes(), "line", "first", "last"))
+    own = F.struct("doc", "row", "pos", "h1", "h2")
+    every = variants(lines, units)
     keys = written(every.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key"))
     met = written(every.join(small(keys, keys.count()), "key", "left_semi"))
     at = met.filter("role = 0").select("key", own.alias("x"))
@@ -114,37 +143,41 @@ def near(docs: DataFrame, occ: DataFrame, min_words: int, text: str = "text") ->
     pairs = met.filter("role = 1").select("key", own.alias("long")).join(met.filter("role = 2").select("key", own.alias("short")), "key")
     other_length = pairs.select(F.greatest("long", "short").alias("x"), F.least("long", "short").alias("kept"))
     found = written(same_length.unionByName(other_length).select("x.h1", "x.h2", "kept").distinct())
-    texts = lines.select("h1", "h2", "w").groupBy("h1", "h2").agg(F.first("w").alias("w"))
-    mine, theirs = texts.select("h1", "h2", F.col("w").alias("w1")), texts.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("w").alias("w2"))
-    right = found.join(mine, ["h1", "h2"]).join(theirs, (F.col("kept.h1") == F.col("k1")) & (F.col("kept.h2") == F.col("k2"))).filter(one_apart(F.col("w1"), F.col("w2")))
-    return right.groupBy("h1", "h2").agg(F.min("kept").alias("kept")).select("h1", "h2", F.struct("kept.doc", "kept.pos").alias("kept"))
-
-
-def dropped(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
-    """(doc, pos, kept_doc, kept_pos, near) of each line to drop and the earlier line that stands for it."""
-    rows = occurrences(docs, text).withColumn("n", words_in(F.col("line")))  # a column, so that it is counted once a line
-    occ = written(rows.select("doc", "pos", *hashes(), anchors(F.col("line"), F.col("n"), min_words).alias("anchors")))
-    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "kept")
-    bad = first.withColumn("near", F.lit(False)).unionByName(near(docs, occ, min_words, text).withColumn("near", F.lit(True)))
+    mine, theirs = lines.select("h1", "h2", F.col("line").alias("a")), lines.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("line").alias("b"))
+    right = found.join(mine, ["h1", "h2"]).join(theirs, (F.col("kept.h1") == F.col("k1")) & (F.col("kept.h2") == F.col("k2"))).filter(within_bound(F.col("a"), F.col("b"), units))
+    return right.groupBy("h1", "h2").agg(F.min("kept").alias("kept")).select("h1", "h2", F.struct("kept.doc", "kept.row", "kept.pos").alias("kept"))
+
+
+def dropped(rows: DataFrame, *, units: int = UNITS, text: str = "text") -> DataFrame:
+    """(row, pos, kept_doc, kept_row, kept_pos, near) of each line to drop and the earlier line that stands for it.
+
+    ``rows`` have a number ``_row`` of their own, the same whenever they are read.
+    """
+    lines = occurrences(rows, text).withColumn("n", words_in(F.col("line")))  # a column, so that it is counted once a line
+    occ = written(lines.select("doc", "row", "pos", *hashes(), anchors(F.col("line"), F.col("n"), units).alias("anchors")))
+    own = F.struct("doc", "row", "pos")
+    first = occ.groupBy("h1", "h2").agg(F.min(own).alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "kept")
+    bad = first.withColumn("near", F.lit(False)).unionByName(near(rows, occ, units, text).withColumn("near", F.lit(True)))
     bad = written(bad.groupBy("h1", "h2").agg(F.max(F.struct("near", "kept")).alias("x")).select("h1", "h2", "x.kept", "x.near"))
-    own = F.struct("doc", "pos")
-    gone = occ.select("doc", "pos", "h1", "h2").join(small(bad, bad.count()), ["h1", "h2"]).filter(F.col("near") | (own != F.col("kept")))
-    return gone.select("doc", "pos", F.col("kept.doc").alias("kept_doc"), F.col("kept.pos").alias("kept_pos"), "near")
+    gone = occ.select("doc", "row", "pos", "h1", "h2").join(small(bad, bad.count()), ["h1", "h2"])
+    gone = gone.filter(F.col("near") | (F.col("row") != F.col("kept.row")) | (F.col("pos") != F.col("kept.pos")))
+    return gone.select("row", "pos", F.col("kept.doc").alias("kept_doc"), F.col("kept.row").alias("kept_row"), F.col("kept.pos").alias("kept_pos"), "near")
 
 
-def dedup(docs: DataFrame, *, min_words: int = 10, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, units: int = UNITS, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and n_lines, n_dropped, n_near (whole lines, dropped, of these near ones)."""
     names = [fresh(x, docs.columns) for x in ("n_lines", "n_dropped", "n_near")]
-    gone = dropped(docs, min_words=min_words, text=text)
-    gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.countDistinct(F.when(F.col("near"), F.col("pos"))).alias("_near"))
-    t = F.col(f"`{text}`")
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    parts = F.split(t, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row")))
+    t, d = (next(F.col(f"c{k}") for k, c in enumerate(docs.columns) if c.lower() == name.lower()) for name in (text, "doc_id"))
+    gone = dropped(rows.select("_row", d.alias("doc_id"), t.alias("text")), units=units)
+    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_list("pos").alias("_gone"), F.count_if("near").alias("_near"))
+    out = rows.join(gone, "_row", "left").withColumn("_lines", F.split(t, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    left = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     kept = F.when(F.col("_gone").isNull(), t).otherwise(left)
     return out.select(
-        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.when(t.isNull(), 0).otherwise(F.size(parts)).alias(names[0]),
+        *[(kept if c.lower() == text.lower() else F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)],
+        F.when(t.isNull(), 0).otherwise(F.size("_lines")).alias(names[0]),
         F.coalesce(F.size("_gone"), F.lit(0)).alias(names[1]),
         F.coalesce("_near", F.lit(0)).cast("int").alias(names[2]),
     )

@@ -29,3 +29,23 @@ every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS label
 top AS (SELECT doc_id, max(share) AS share FROM best GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
 FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN every ON every.doc_id = w.doc_id LEFT JOIN top ON top.doc_id = w.doc_id"""
+
+
+#: Line dedup; documents must have distinct doc_ids (SQL has no order for rows alike).
+LINES = """WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, CAST(doc_id AS HUGEINT) * 100000000 + pos AS place, line FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM parts)),
+d AS (SELECT line, min(place) AS place, len(string_split(line, ' ')) AS n, string_split(line, ' ') AS w, length(line) AS c FROM l WHERE trim(line) <> '' GROUP BY line),
+i AS (SELECT line, place, n, w, unnest(range(n)) AS i FROM d WHERE n >= 5),
+v AS (SELECT line, place, n, i, array_to_string(w[:i] || w[i + 2:], ' ') AS rest FROM i),
+j AS (SELECT line, place, c, unnest(range(c)) AS i FROM d WHERE n < 5 AND c >= 5),
+u AS (SELECT line, place, c, i, substr(line, 1, i) || substr(line, i + 2) AS rest FROM j),
+pairs AS (
+  SELECT line, place, min(place) OVER (PARTITION BY n, i, rest) AS other, NULL AS shorter FROM v
+  UNION ALL SELECT line, place, min(place) OVER (PARTITION BY c, i, rest), NULL FROM u
+  UNION ALL SELECT v.line, v.place, d.place, d.line FROM v JOIN d ON d.line = v.rest AND d.n = v.n - 1
+  UNION ALL SELECT u.line, u.place, d.place, d.line FROM u JOIN d ON d.line = u.rest AND d.n < 5),
+near AS (SELECT line FROM pairs WHERE other < place UNION SELECT shorter FROM pairs WHERE shorter IS NOT NULL AND place < other),
+marked AS (SELECT l.doc_id, l.place, l.line, trim(l.line) <> '' AND l.line IN (SELECT line FROM near) AS is_near, trim(l.line) <> '' AND l.place > d.place AS again FROM l LEFT JOIN d ON d.line = l.line),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (NOT (is_near OR coalesce(again, false))) AS text, count(*) FILTER (is_near OR coalesce(again, false)) AS n_dropped, count(*) FILTER (is_near) AS n_near FROM marked GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(len(p.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped, CAST(coalesce(n_near, 0) AS INTEGER) AS n_near
+FROM parts p LEFT JOIN kept ON kept.doc_id = p.doc_id"""

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duewise.llm.common import table, written
-from duewise.llm.components import components
 from duewise.llm.vectors import matrix, sample, usable
+from duewise.operators.components import weak_components as components
 
 
 def unit(x: np.ndarray) -> np.ndarray:

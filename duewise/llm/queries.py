@@ -27,6 +27,7 @@ part AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": oracles.licenses_sql(),
+    "op6_lines": oracles.LINES,
     "op5_pivots": f"""WITH RECURSIVE x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
 pairs AS (SELECT p.vec_id AS a, q.vec_id AS b FROM x p JOIN x q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_cosine_similarity(p.v, q.v) >= 0.93), {_PARTS}
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(component, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN part ON node = e.vec_id""",
