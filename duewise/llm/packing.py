@@ -3,14 +3,14 @@
 Documents are encoded by a public byte-level vocabulary and end with ``end_id``. What is longer than a row is split: whole
 rows, then a rest. The pieces are packed longest first, each into the open row with the least room that is enough; a segment
 tree over room finds it in logarithmic time. A row holds its ids as fixed-width little-endian bytes (padded by ``end_id``),
-the cumulative lengths of its segments, the places where positions start again, and each segment's document and offset in it,
-so that ``unpack`` gives every document back.
+the cumulative lengths of its segments, the places where positions start again, and each segment's document, the document's
+number in its shard and the offset in it, so that ``unpack`` gives every document back, whatever doc_ids repeat or lack.
 
 Scale: one map over the table, no shuffle. A task packs windows of about ``window_tokens`` ids, so its memory is bounded; the
 room that is lost is that of the last rows of a window. The vocabulary is read on the driver from a path given as a
 parameter and broadcast (its size is fixed).
 
-Edge cases: null and empty texts are documents of the end id alone; a null doc_id stays null; repeated rows are packed each on
+Edge cases: null and empty texts are documents of the end id alone; a null doc_id stays null; rows that share or lack a doc_id are packed each on
 its own; equally long pieces keep their order; an empty table gives an empty result; other columns are not read.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from duewise.llm.common import table
 
 END_ID = 50_256
-SCHEMA = "shard long, row int, n_tokens int, token_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<int>"
+SCHEMA = "shard long, row int, n_tokens int, token_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_rows array<int>, doc_offsets array<int>"
 MEMO = 400_000
 
 
@@ -120,7 +120,7 @@ def packed(docs: DataFrame, path: str, pattern: str, *, length: int = 2_048, end
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal shards
-            pieces = [(d, at, ids[at * width : (at + length) * width]) for d, ids in held for at in range(0, len(ids) // width, length)]
+            pieces = [(d, at, ids[at * width : (at + length) * width], k) for k, (d, ids) in enumerate(held) for at in range(0, len(ids) // width, length)]
             sizes = [len(p[2]) // width for p in pieces]
             rows = pack(sizes, length)
             for lo in range(0, len(rows), 500):
@@ -135,9 +135,10 @@ def packed(docs: DataFrame, path: str, pattern: str, *, length: int = 2_048, end
                         pa.array(ends, pa.list_(pa.int32())),
                         pa.array([e[:-1] for e in ends], pa.list_(pa.int32())),
                         pa.array([[pieces[k][0] for k in row] for row in part], pa.list_(pa.int64())),
+                        pa.array([[pieces[k][3] for k in row] for row in part], pa.list_(pa.int32())),
                         pa.array([[pieces[k][1] for k in row] for row in part], pa.list_(pa.int32())),
                     ],
-                    names=["shard", "row", "n_tokens", "token_ids", "cu_seqlens", "position_resets", "doc_ids", "doc_offsets"],
+                    names=["shard", "row", "n_tokens", "token_ids", "cu_seqlens", "position_resets", "doc_ids", "doc_rows", "doc_offsets"],
                 )
             shards += 1
             held.clear()
@@ -167,12 +168,12 @@ def unpack(rows: list, kind: str = "<u2") -> list[tuple[int | None, list[int]]]:
     pieces = []
     for r in rows:
         ids = np.frombuffer(r["token_ids"], kind)
-        for k, (d, at) in enumerate(zip(r["doc_ids"], r["doc_offsets"], strict=True)):
-            pieces.append((r["shard"], d is not None, d or 0, at, ids[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()))
-    whole: dict = {}
-    for shard, there, d, at, ids in sorted(pieces, key=lambda p: p[:4]):
-        whole.setdefault((shard, there, d), []).append((at, ids))
-    return [(d if there else None, [i for _, ids in parts for i in ids]) for (_, there, d), parts in whole.items()]
+        for k, (d, n, at) in enumerate(zip(r["doc_ids"], r["doc_rows"], r["doc_offsets"], strict=True)):
+            pieces.append((r["shard"], n, at, d, ids[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]].tolist()))
+    whole: dict[tuple[int, int], tuple] = {}
+    for shard, n, _, d, ids in sorted(pieces, key=lambda p: p[:3]):
+        whole.setdefault((shard, n), (d, []))[1].extend(ids)
+    return list(whole.values())
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_room_finds_the_least_that_is_enough():
 def test_round_trip_of_whole_texts(spark):
     rng = random.Random(3)
     texts = [None, "", " ", "a" * 9000, "it's 12,345 été 日本語  \n\n x<|endoftext|>", "word " * 3000, *(" ".join(rng.choice(["the", "quick", "ñandú", "x1"]) for _ in range(rng.randint(0, 300))) for _ in range(60))]
-    docs = [(k, t, 1) for k, t in enumerate(texts)] + [(None, "no id", 1)]
+    docs = [(k, t, 1) for k, t in enumerate(texts)] + [(None, "no id", 1), (None, "b " * 400, 1), (None, "c " * 500, 1), (3, "d " * 600, 1), (3, "e " * 300, 1), (3, texts[3], 1)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, row int").repartition(3)
     rows = packing.packed(frame, PATH, PATTERN, length=128, window_tokens=2000).collect()
     library = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=packing.vocabulary(PATH), special_tokens={})
