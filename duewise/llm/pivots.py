@@ -4,8 +4,9 @@ Each vector is described by its nearest reference points in order (its permutati
 its first ``listed`` pivots; two vectors in a list that share at least ``shared`` of their first ``described`` pivots are
 verified by their cosine in double precision. A pair that meets in several lists is counted in the one of the smallest pivot.
 
-The reference points are the only sample: ``pivots`` of at most ``pivot_rows`` vectors with the smallest seeded hashes, chosen
-so that no two are near each other. Every vector is indexed. Recall against brute force is measured in the tests.
+The reference points are the only sample, taken from the vectors with the smallest seeded hashes, four for each, so that no two
+are near each other. Their number grows with the root of the number of vectors (``per_root`` times, at most ``most_pivots``), so
+lists grow no faster. Every vector is indexed. Recall against brute force is measured in the tests.
 
 Scale: exact copies are one entry that carries its number. Lists are cut into blocks of about ``block`` vectors, and every
 two blocks of a list are compared in a task of their own, so a hot list is spread; what leaves a task is a count of links and
@@ -18,13 +19,15 @@ component's id is its smallest vec_id that is there; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duewise.llm.common import table, written
-from duewise.llm.vectors import matrix, sample, usable
+from duewise.llm.vectors import hashed_sample, matrix, usable
 from duewise.operators.components import weak_components as components
 
 
@@ -72,7 +75,7 @@ def described(vectors: DataFrame, points: list[list[float]], count: int) -> Data
     return vectors.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", near array<int>")
 
 
-def links(entries: DataFrame, *, least: float, points: int, listed: int, shared: int, block: int) -> DataFrame:
+def links(entries: DataFrame, *, least: float, listed: int, shared: int, block: int) -> DataFrame:
     """Counts and spanning links from all lists. ``entries``: key, label, v, copies, near.
 
     Rows are (key, n, other): ``n`` linked vectors of a key in one pair of blocks, or a link to ``other`` with n 0.
@@ -87,10 +90,12 @@ def links(entries: DataFrame, *, least: float, points: int, listed: int, shared:
         frame = frame.sort_values("key", ignore_index=True)
         k, copies, own = (frame[c].to_numpy() for c in ("key", "copies", "own"))
         near = np.stack(frame["near"].to_numpy())
-        marks, lists = np.zeros((len(k), points), np.float32), np.zeros((len(k), points), np.float32)
-        np.put_along_axis(marks, near, 1, 1)
-        np.put_along_axis(lists, near[:, :listed], 1, 1)
-        lists[:, pivot:] = 0  # lists of smaller pivots
+        here, column = np.unique(near, return_inverse=True)  # the pivots that occur
+        column = column.reshape(near.shape)
+        marks, lists = np.zeros((len(k), len(here)), np.float32), np.zeros((len(k), len(here)), np.float32)
+        np.put_along_axis(marks, column, 1, 1)
+        np.put_along_axis(lists, column[:, :listed], 1, 1)
+        lists = lists[:, here < pivot]  # lists of smaller pivots
         x = unit(matrix(frame["v"]))
         a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         like = (marks[a] @ marks[b].T >= shared) & (lists[a] @ lists[b].T == 0)
@@ -119,18 +124,20 @@ def links(entries: DataFrame, *, least: float, points: int, listed: int, shared:
 
 
 def near_duplicates(
-    vectors: DataFrame, *, least: float = 0.93, pivots: int = 32, pivot_rows: int = 1_024, listed: int = 4, described_by: int = 8, shared: int = 3, block: int = 512, seed: int = 5
+    vectors: DataFrame, *, least: float = 0.93, per_root: float = 2.0, most_pivots: int = 4_096, listed: int = 5, described_by: int = 10, shared: int = 2, block: int = 512, seed: int = 5
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     good = F.col("label").isNotNull() & usable(F.col("v"))
     rows = written(rows.withColumn("key", F.when(good, F.xxhash64("label", "v"))))
     entries = written(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
-    points = choose(sample(entries, pivot_rows, seed), pivots)
+    total = entries.count()
+    pivots = min(most_pivots, max(32, math.ceil(per_root * total**0.5)))
+    points = choose(hashed_sample(entries, 4 * pivots, total, seed), pivots)
     if not points:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     count = min(described_by, len(points))
-    found = written(links(described(entries, points, count), least=least, points=len(points), listed=min(listed, count), shared=min(shared, count), block=block))
+    found = written(links(described(entries, points, count), least=least, listed=min(listed, count), shared=min(shared, count), block=block))
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     parts = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = entries.select("key", "rep", "copies").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
