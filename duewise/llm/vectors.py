@@ -18,7 +18,12 @@ def matrix(column) -> np.ndarray:
     return np.array(column.tolist() if hasattr(column, "tolist") else column, np.float64)
 
 
-def sample(vectors: DataFrame, rows: int, seed: int) -> list[list[float]]:
-    """At most ``rows`` vectors (column v), those with the smallest seeded hashes; distinct, in a fixed order."""
-    drawn = vectors.select("v", F.xxhash64(F.lit(seed), "v").alias("h")).orderBy("h").limit(rows).collect()
-    return [list(r["v"]) for r in sorted({(r["h"], tuple(r["v"])): r for r in drawn}.values(), key=lambda r: (r["h"], tuple(r["v"])))]
+def hashed_sample(vectors: DataFrame, rows: int, total: int, seed: int) -> list[list[float]]:
+    """Distinct vectors (column v) with the smallest seeded hashes, at most ``rows`` of ``total``; in a fixed order.
+
+    The hash's bound is set for that many, so that no more leave the cluster than are kept, but for chance.
+    """
+    h = F.xxhash64(F.lit(seed), "v")
+    bound = int(min(1.0, (rows + 3 * rows**0.5) / max(total, 1)) * (1 << 40))
+    drawn = vectors.select("v", h.alias("h")).filter(F.shiftrightunsigned(h, 24) < bound).dropDuplicates(["h"]).collect()
+    return [list(r["v"]) for r in sorted(drawn, key=lambda r: (r["h"] % (1 << 64), tuple(r["v"])))[:rows]]

@@ -98,6 +98,67 @@ def test_neighbours_recall_on_the_table(spark):
     assert hit >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
+def planted(n=20_000, pairs=1_000, dims=64):
+    """Unit vectors without structure, and for the first of them one more at a cosine of 0.93 to 0.96."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((n, dims)))
+    a, c = base[:pairs], rng.uniform(0.9301, 0.96, (pairs, 1))
+    off = rng.standard_normal((pairs, dims))
+    return np.vstack([base, a * c + unit(off - (off * a).sum(1, keepdims=True) * a) * np.sqrt(1 - c * c)])
+
+
+def test_planted_neighbours_are_linked(spark, tmp_path):
+    import pandas as pd
+
+    x = planted()
+    pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": 1}).to_parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in pivots.op5_pivots(spark, str(tmp_path)).collect()}
+    linked = [got[k]["component_id"] == got[20_000 + k]["component_id"] for k in range(1_000)]
+    assert sum(linked) >= 990
+    assert sum(r["n_links"] for r in got.values()) == 2 * sum(linked)  # nothing else is that near
+
+
+def test_pivots_keep_lists_short():
+    x = planted()
+    points = np.array(pivots.choose(x[:1_160].tolist(), 290))
+    order = np.argsort(-(x @ points.T), axis=1)[:, :10]
+    counts = np.bincount(order[:, :5].ravel())
+    assert len(points) == 290 and (counts**2).sum() < 0.15 * len(x) ** 2  # entries compared, of all pairs
+
+
+def searched(x, asked=40, k=20, dims=32, sure=0.9):
+    """Recall against brute force, and share of vectors verified."""
+    index = neighbours.Index(np.arange(len(x)), x, neighbours.Projection(x.shape[1], dims, 3, np.linalg.norm(x, axis=1).max()))
+    hit = 0
+    for r, ids, _ in index.search(np.arange(asked), x[:asked], np.full(asked, np.nan), k, neighbours.quantile(sure, dims)):
+        s = x @ x[r]
+        s[r] = -np.inf
+        hit += len(set(np.argsort(-s)[:k]) & set(ids))
+    return hit / asked / k, index.verified / asked / len(x)
+
+
+def test_share_of_vectors_that_are_verified():
+    rng = np.random.default_rng(1)
+    recall, share = searched(rng.standard_normal((300, 64))[rng.integers(300, size=16_384)] + 0.3 * rng.standard_normal((16_384, 64)))
+    assert recall >= 0.95 and share <= 0.05
+    recall, share = searched(np.array([r[0] for r in duckdb.sql("select embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()], float))
+    assert recall >= 0.9 and share <= 0.6  # vectors without structure
+
+
+def test_cells_hold_their_points():
+    points = np.random.default_rng(2).standard_normal((500, 3))
+    cells = neighbours.Cells(points, 16)
+    home = cells.of(points)
+    assert cells.count == 16 and np.bincount(home, minlength=16).min() > 15
+    for p in points[:50]:
+        gaps = cells.gaps(p)
+        assert gaps[cells.of(p[None])[0]] == 0
+        for c in range(16):
+            assert gaps[c] <= ((points[home == c] - p) ** 2).sum(axis=1).min() + 1e-9
+    assert set(neighbours.Cells(np.ones((9, 2)), 8).of(np.ones((4, 2)))) == {0}
+
+
 def test_few_candidates_and_empty_tables(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [2.0, 1.0], 1), (2, [1.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in neighbours.search(frame, frame.filter("vec_id = 0")).collect()] == [(0, 1, 1, 4.0), (0, 2, 2, 3.0)]
