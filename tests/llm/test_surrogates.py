@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from duewise.llm import surrogates as sg
 
 TEXTS = [
@@ -17,7 +19,7 @@ TEXTS = [
 
 def run(spark, rows, **options):
     frame = spark.createDataFrame(rows, "doc_id long, text string, kinds string")
-    return {r["doc_id"]: r for r in sg.replace(frame, **options).collect()}
+    return {r["doc_id"]: r for r in sg.replace(frame, **{"key": "k"} | options).collect()}
 
 
 def test_shapes_coreference_and_untouched_texts(spark):
@@ -35,7 +37,7 @@ def test_shapes_coreference_and_untouched_texts(spark):
     for shape in (r"^AKIA[0-9A-Z]{16} ", r"password=[0-9a-f]{18} ", r'token = "[0-9a-f]{40}"', r'TOKEN = "[0-9A-F]{40}"'):
         assert re.search(shape, text[6]), text[6]
     f, full, m, ru, dr = re.findall(r"(?:Mrs\.|Mr\.|Госпожа|Dr\.) (\w+(?: [A-ZА-Я]\w+)?)", text[7])
-    assert full.split()[1] == m.upper() and f != m and re.fullmatch("[А-Яа-я]+", ru) and ru.endswith(("нова", "рина", "лева", "ская"))
+    assert full.split()[1] == m.upper() == f.upper() and re.fullmatch("[А-Яа-я]+", ru) and ru.endswith(("нова", "рина", "лева", "ская"))
     assert "Smith" not in text[7] and re.search(r"IBAN DE\d\d \d{4}", text[7])
     assert got[7]["_kinds"] == "iban,name" and got[7]["n_entities"] == 6 and got[7]["kinds"] == "c"
     assert len(text[8]) == len(TEXTS[8]) or "b.example" not in text[8]
@@ -54,3 +56,57 @@ def test_keys_matter_and_empty_tables(spark):
     rows = [(3, TEXTS[3], "c"), (3, TEXTS[3], "c")]
     assert run(spark, rows)[3]["text"] != run(spark, rows, key="other")[3]["text"]
     assert run(spark, []) == {}
+
+
+def test_names_of_one_person_agree(spark):
+    text = "Dr. Smith and Mr. Maria Smith met. Smith said that SMITH and Maria Smith left; Smithson and maria stay. Mr Παπαδόπουλος, Παπαδόπουλος; Dr. 王伟, Mme Дарья Петрова. Mr ישראלי"
+    got = run(spark, [(1, text, "c"), (2, "Prof. Smith", "c"), (3, "Smith", "c")])
+    made = got[1]["text"]
+    m = re.fullmatch(r"Dr\. (\w+) and Mr\. (\w+) (\w+) met\. (\w+) said that SMITH and (\w+) (\w+) left; Smithson and maria stay\. Mr (\w+), (\w+); Dr\. (\w+), Mme (\w+) (\w+)\. Mr (\w+)", made)
+    assert m, made
+    smith, maria = m[1], m[2]
+    assert {m[3], m[4], m[6]} == {smith} and m[5] == maria and got[2]["text"] == f"Prof. {smith}" and got[3]["text"] == "Smith"
+    assert maria.endswith(tuple(sg.ENDINGS["latin f"])) and m[7] == m[8] and re.fullmatch("[Α-Ωα-ωά-ώ]+", m[7]) and m[7].endswith(tuple(sg.ENDINGS["greek m"]))
+    assert re.fullmatch("[\u4e00-\u9fff]{2,}", m[9]) and m[9] != "王伟" and m[10].endswith(tuple(sg.ENDINGS["cyrillic f"])) and re.fullmatch("[א-ת]+", m[12])
+
+
+@pytest.mark.parametrize("kind", [*sg.ENTITIES, "labels", "titles"])
+def test_long_runs_of_any_pattern(spark, kind):
+    unit = {
+        "email": "x@a.", "secret": "password=", "access_key": "AKIA0", "iban": "DE89 3704 ", "card": "4111 ", "phone": "+1 (305) ", "ssn": "123-45-", "ip": "1.2.3.", "name": "Mr. A", "titles": "Mr. Ab ", "labels": "b.",
+    }[kind]
+    text = ("x@a" if kind == "labels" else "") + unit * (1_000_000 // len(unit)) + "com"
+    frame = spark.createDataFrame([(text,)], "text string")
+    assert sg.found_in(frame, frame["text"]).selectExpr("coalesce(size(_found), 0) n").first()["n"] >= 0
+
+
+def test_long_entities(spark):
+    texts = ["password=" + "a1" * 200_000, "a" * 300_000 + "@b.com", "Mr. A" + "b" * 300_000, "+1 305 555 2862 " * 200]
+    got = run(spark, [(k, t, "c") for k, t in enumerate(texts)])
+    assert len(got[0]["text"]) == len(texts[0]) and got[0]["text"][9:] != texts[0][9:] and got[1]["text"] == texts[1]
+    assert len(got[2]["text"]) < 100 and len(set(got[3]["text"].split("  "))) == 1
+
+
+def test_surrogates_never_run_out_or_say_so(spark):
+    rows = [(k, f"Mr. A{chr(97 + k // 5)}{'bcdef'[k % 5]}. and a@b.com", "c") for k in range(12)]
+    names = {r["text"].split(".")[1] for r in run(spark, rows, hexes=0).values()}
+    assert len(names) == 12  # one hash for all: each is told apart by a longer name
+    with pytest.raises(RuntimeError, match="ssn"):
+        run(spark, [(k, f"ssn {100 + k}-11-2000", "c") for k in range(25)], hexes=0)
+
+
+def test_a_table_against_brute_force(spark):
+    """Distinctness and coreference over a table, with surrogates read back by place."""
+    import random
+
+    rng = random.Random(4)
+    rows, real = [], []
+    for k in range(120):
+        parts = [f"u{rng.randrange(60)}@h{rng.randrange(9)}.com", f"10.0.{rng.randrange(9)}.{rng.randrange(9)}", f"{rng.randrange(100, 130)}-55-1234"]
+        real.append(parts)
+        rows.append((k, " ; ".join(parts), "c"))
+    got = run(spark, rows, hexes=3)
+    made, back = {}, {}
+    for k, parts in enumerate(real):
+        for a, b in zip(parts, got[k]["text"].split(" ; "), strict=True):
+            assert made.setdefault(a, b) == b and back.setdefault(b, a) == a and re.sub("[a-z0-9]", "", a) == re.sub("[a-z0-9]", "", b) and b not in {x for p in real for x in p}
