@@ -11,7 +11,7 @@ What replaces an entity depends on a secret key (HMAC-SHA-512) and on the entity
 apart), so the same entity has the same surrogate everywhere. Collision check: over all distinct entities (of names, words), a
 surrogate that another has too, or that is itself a real one, is drawn again with the next attempt number until none is left.
 Each attempt makes names longer by a syllable and every second one mailboxes by a letter, so they can't run out; where another
-kind of entity has no free surrogate after ``MOST`` attempts, an error says so. Attempts other than 0 are few; they are joined
+kind of entity has no free surrogate after ``most`` attempts, an error says so. Attempts other than 0 are few; they are joined
 to the documents that hold such an entity.
 
 The key is a parameter. Like everything in a plan it stands in event logs, which are as secret as the key.
@@ -284,11 +284,11 @@ def distinct_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("kind", "canon").agg(F.min("form").alias("form"))
 
 
-def attempts(entities: DataFrame, keyed: Keyed) -> DataFrame:
+def attempts(entities: DataFrame, keyed: Keyed, most: int = MOST) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogates collide with others' or with real entities."""
     redrawn = entities.select("kind", "canon", F.lit(0).alias("attempt")).limit(0)
     real = entities.select("kind", F.col("canon").alias("made")).withColumn("real", F.lit(True))
-    for _ in range(MOST):
+    for _ in range(most):
         tried = entities.join(redrawn, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
         tried = tried.withColumn("made", F.array(F.struct("kind", F.array("canon").alias("canon"), F.col("form").alias("e"))))
         made = written(surrogates("made", lambda kind, c: F.col("attempt"), keyed, tried).withColumn("made", F.element_at("made", 1)))
@@ -302,14 +302,14 @@ def attempts(entities: DataFrame, keyed: Keyed) -> DataFrame:
             return redrawn
         redrawn = written(redrawn.join(bad.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(bad))
     kinds = sorted(r["kind"] for r in bad.select("kind").distinct().collect())
-    raise RuntimeError(f"after {MOST} attempts some entities have no surrogate of their own: {', '.join(kinds)}")
+    raise RuntimeError(f"after {most} attempts some entities have no surrogate of their own: {', '.join(kinds)}")
 
 
-def replace(docs: DataFrame, *, key: str, text: str = "text", hexes: int = 128) -> DataFrame:
+def replace(docs: DataFrame, *, key: str, text: str = "text", hexes: int = 128, most: int = MOST) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and n_entities and kinds (distinct, sorted, comma-joined)."""
     keyed, t = Keyed(key, hexes), F.col(f"`{text}`")
     names = [fresh(x, docs.columns) for x in ("n_entities", "kinds")]
-    again = attempts(written(distinct_entities(docs, text)), keyed)
+    again = attempts(written(distinct_entities(docs, text)), keyed, most)
     out = found_in(docs, t)
     tag = lambda kind, canon: F.concat_ws("\x1f", kind, canon)
     if again.isEmpty():

@@ -88,11 +88,10 @@ def test_long_entities(spark):
 
 
 def test_surrogates_never_run_out_or_say_so(spark):
-    rows = [(k, f"Mr. A{chr(97 + k // 5)}{'bcdef'[k % 5]}. and a@b.com", "c") for k in range(12)]
-    names = {r["text"].split(".")[1] for r in run(spark, rows, hexes=0).values()}
-    assert len(names) == 12  # one hash for all: each is told apart by a longer name
+    names = {r["text"] for r in run(spark, [(k, f"Mr. A{'bcd'[k]}", "c") for k in range(3)], hexes=0).values()}
+    assert len(names) == 3  # one hash for all: each is told apart by a longer name
     with pytest.raises(RuntimeError, match="ssn"):
-        run(spark, [(k, f"ssn {100 + k}-11-2000", "c") for k in range(25)], hexes=0)
+        run(spark, [(k, f"ssn {100 + k}-11-2000", "c") for k in range(4)], hexes=0, most=3)
 
 
 def test_a_table_against_brute_force(spark):
