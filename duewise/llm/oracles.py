@@ -1,19 +1,43 @@
-"""DuckDB SQL of the licence scan, made from its phrases and templates."""
+"""DuckDB SQL of the licence scan and of line dedup."""
 
 from __future__ import annotations
 
 import math
 
-from duewise.llm.licenses import TEMPLATES
-
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The notices again, so that the SQL shares nothing with the operator: label, family, required words, notice.
+NOTICES = """
+mit-notice | mit | mit | released under the mit license
+mit-text | mit | permission software | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+isc-text | mit | fee | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+apache-2.0-notice | apache | apache 2 | licensed under the apache license version 2 0
+apache-2.0-text | apache | basis | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+gpl-2.0-notice | gpl | gnu 2 | this work is licensed under the gnu general public license version 2
+gpl-3.0-notice | gpl | gnu 3 | this work is licensed under the gnu general public license version 3
+gpl-2.0-text | gpl | gnu 2 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3.0-text | gpl | gnu 3 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+lgpl-2.1-text | gpl | lesser | this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+mpl-2.0-notice | mpl | mozilla 2 | this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at
+bsd-2-clause-text | bsd | redistribution binary | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-3-clause-text | bsd-names | endorse | neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+cc-by-4.0-notice | cc | cc by 4 | licensed under cc by 4 0
+cc-by-sa-4.0-notice | cc | cc by sa 4 | licensed under cc by sa 4 0
+cc-by-nc-4.0-notice | cc | cc by nc 4 | licensed under cc by nc 4 0
+cc-by-nd-4.0-notice | cc | cc by nd 4 | licensed under cc by nd 4 0
+cc-by-nc-sa-4.0-notice | cc | cc by nc sa 4 | licensed under cc by nc sa 4 0
+cc0-text | cc0 | public domain | the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law
+unlicense-text | unlicense | unencumbered | this is free and unencumbered software released into the public domain
+all-rights-reserved | reserved | copyright rights reserved | copyright all rights reserved
+"""
+
 
 def licenses_sql(threshold: float = 0.8) -> str:
-    rows = []
-    for phrase, label in TEMPLATES.items():
-        words = sorted(set(phrase.split()))
-        rows += [f"('{label}', '{w}', {len(words)}, {math.ceil(threshold * len(words) - 1e-9)})" for w in words]
+    rows, musts = [], []
+    for label, family, required, notice in (line.split(" | ") for line in NOTICES.strip().split("\n")):
+        words = sorted(set(notice.split()))
+        rows += [f"('{label}', '{family}', '{w}', {len(words)}, {math.ceil(threshold * len(words) - 1e-9)})" for w in words]
+        musts += [f"('{label}', '{w}', {len(required.split())})" for w in required.split()]
     return rf"""WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{WORD}') AS w FROM low),
 x AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w),
@@ -21,8 +45,11 @@ y AS (SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) A
 h AS (SELECT doc_id, i, CASE word WHEN 'general' THEN 'gpl' ELSE word END AS label FROM y WHERE (word IN ('mit', 'apache') AND w2 = 'license') OR (word = 'general' AND w2 = 'public' AND w3 = 'license')),
 b AS (SELECT DISTINCT doc_id, block FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS block FROM low UNION ALL SELECT doc_id, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) AS block FROM low)),
 bw AS (SELECT DISTINCT doc_id, block, unnest(regexp_extract_all(block, '{WORD}')) AS word FROM b),
-tw(label, word, n, need) AS (VALUES {', '.join(rows)}),
-m AS (SELECT doc_id, block, label, CAST(count(*) AS DOUBLE) / max(n) AS share FROM bw JOIN tw ON bw.word = tw.word GROUP BY doc_id, block, label HAVING count(*) >= max(need)),
+tw(label, family, word, n, need) AS (VALUES {', '.join(rows)}),
+must(label, word, n) AS (VALUES {', '.join(musts)}),
+has AS (SELECT doc_id, block, label FROM bw JOIN must ON bw.word = must.word GROUP BY doc_id, block, label HAVING count(*) = max(must.n)),
+every_m AS (SELECT doc_id, block, label, family, CAST(count(*) AS DOUBLE) / max(n) AS share, max(n) AS n FROM bw JOIN tw ON bw.word = tw.word GROUP BY doc_id, block, label, family HAVING count(*) >= max(need)),
+m AS (SELECT doc_id, block, label, share FROM every_m SEMI JOIN has USING (doc_id, block, label) QUALIFY row_number() OVER (PARTITION BY doc_id, block, family ORDER BY share DESC, n DESC, label DESC) = 1),
 best AS (SELECT doc_id, label, max(share) AS share FROM m GROUP BY doc_id, label),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM best) GROUP BY doc_id),
