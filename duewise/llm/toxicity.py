@@ -1,21 +1,24 @@
-"""Toxicity by a weighted finite-state pattern grammar.
+"""Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer turns words into symbols (insult, threat, target, negation, report, other, end of clause); insults
-and threats carry a weight. Three small transducers mark what lies in the scope of a target, of a negation and of reported
-speech; ``compose`` makes one machine of them, which reads each clause and writes a kind for every match, such as
-"insult, targeted, negated". A document's score is a logistic function of its matches' weights by kind.
+A lexicon transducer turns words into symbols (insult, threat, target, subject, negation, report, speaker, modal, other, end of
+clause); insults and threats carry a weight. Small transducers mark an insult or threat that stands after a target or subject,
+in the scope of a negation, in reported speech, or after a speaker and a modal ("I will"); ``compose`` makes one machine of
+them, which reads a clause forwards. One more reads it backwards and marks what has a target soon after it, so targets count on
+both sides. A clause's path is its best match: an insult at somebody or at nobody; a threat meant, at somebody, or at nobody;
+asserted, negated or reported. A document's score is a logistic function of its clauses' matches by kind, damped.
 
 Learned from labels: the lexicon's weights, a trie of word beginnings whose states hold smoothed log odds of the label (so a
 stem that marks toxic texts in any language counts, whatever its endings), and the logistic weights of the kinds, fitted on
-the half of the sample that the lexicon at hand was not learned from. The fixed words below are only a prior.
+the half of the sample that the lexicon at hand was not learned from. The fixed words below are only a prior: by it alone a
+single word that isn't said at anybody is not toxic, but where the labels say that such words are, the weights follow them.
 
 Bounds: at most ``sample_toxic`` and ``sample_clean`` labelled documents, those with the smallest seeded hashes, are learned
-from; the lexicon keeps at most ``lexicon_states`` states. Every document is scored whole, in one map over the table.
+from, each text once; a trie state counts from ``least_docs`` toxic documents on. Every document is scored whole, in one map.
 
 Edge cases: null and empty texts score the intercept; labels that are null or of unknown documents teach nothing, and of
-repeated labels the largest counts; without labels of both kinds the prior alone is used; repeated documents are scored
-each on its own; a null doc_id counts as not held out; an empty table gives an empty result. Label, language, source and
-doc_id are never inputs of a score. ``score`` carries other columns along and renames its own on a clash.
+repeated labels, and of equal texts, the largest counts; without labels of both kinds the prior alone is used; repeated
+documents are scored each on its own; a null doc_id counts as not held out; an empty table gives an empty result. Label,
+language, source and doc_id are never inputs of a score. ``score`` carries other columns along and renames its own on a clash.
 """
 
 from __future__ import annotations
@@ -31,23 +34,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import fresh, table
+from duewise.llm.common import fresh, table, written
 
-OTHER, END, INSULT, THREAT, TARGET, NEGATION, REPORT = range(7)
+OTHER, END, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, SPEAKER, MODAL, INTENT = range(11)
 
 #: Words known beforehand.
 PRIOR: dict[int, str] = {
     INSULT: "idiot moron stupid scum trash loser pathetic worthless clown disgusting imbecile fool dumb garbage vermin "
     "dummkopf abschaum idioten crétin abruti ordure salaud estúpido imbécil escoria basura",
     THREAT: "kill destroy hurt crush murder slaughter töten vernichten tuer détruire écraser matar destruir aplastar",
-    TARGET: "you your yours he she they him them these those people du dich ihr sie euch tu toi vous ils eux elles usted ustedes ellos ellas",
-    NEGATION: "not never no don't isn't aren't nicht nie kein keine pas jamais aucun aucune nunca jamás ni",
+    TARGET: "you your yours him them these those people du dich dir euch tu toi vous eux usted ustedes ti",
+    SUBJECT: "he she they ihr sie er ils elles ellos ellas",
+    NEGATION: "not never no don't isn't aren't won't nicht nie kein keine pas jamais aucun aucune nunca jamás ni",
     REPORT: "said says say wrote writes called calls claimed claims quoted quote sagte schrieb nannte disait écrit appelé dijo escribió llamó",
+    SPEAKER: "i we i'm we're ich wir je nous yo nosotros",
+    MODAL: "will shall going gonna must want werde werden will vais allons vamos voy quiero",
+    INTENT: "i'll we'll",
 }
 
-KINDS = [(what, target, scope) for what in (INSULT, THREAT) for target in (0, 1) for scope in ("asserted", "negated", "reported")]
-#: Prior logistic weight of each kind, for strong and for weak matches, and prior intercept.
-PRIOR_WEIGHTS = np.array([(strong * ((7.0 if what == INSULT else 5.0) + 0.5 * target) if scope == "asserted" else strong * 1.0) for strong in (1.0, 0.1) for what, target, scope in KINDS])
+NOBODY, SOMEBODY, MEANT = range(3)
+KINDS = [(what, at, scope) for what, ats in ((INSULT, (NOBODY, SOMEBODY)), (THREAT, (NOBODY, SOMEBODY, MEANT))) for at in ats for scope in ("asserted", "negated", "reported")]
+#: Prior logistic weight of each asserted kind, of others, and of weak words as a share of strong ones; prior intercept.
+ASSERTED = {(INSULT, NOBODY): 4.0, (INSULT, SOMEBODY): 7.5, (THREAT, NOBODY): 1.0, (THREAT, SOMEBODY): 5.0, (THREAT, MEANT): 8.0}
+PRIOR_WEIGHTS = np.array([strong * (ASSERTED[what, at] if scope == "asserted" else 0.8) for strong in (1.0, 0.1) for what, at, scope in KINDS])
 PRIOR_INTERCEPT = -3.5
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,]")
@@ -56,34 +65,47 @@ KEEP, STRONG = 1.0, 3.0  # log odds from which a word counts as an insult, and a
 
 
 class Transducer:
-    """Deterministic; reads symbols, writes symbols: ``arcs[state, symbol] = (next state, written)``, else ``rest``."""
+    """Deterministic: reads a symbol and the marks others left on it, moves by the symbol and may add a mark of its own.
+
+    ``arcs[state, symbol] = (next state, mark or None)``; for other symbols ``rest[state]`` is next.
+    """
 
     def __init__(self, arcs: dict, rest: dict):
         self.arcs, self.rest = arcs, rest
 
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol)) or (self.rest[state], symbol)
+    def step(self, state: int, marked: tuple) -> tuple[int, tuple]:
+        after, mark = self.arcs.get((state, marked[0]), (self.rest[state], None))
+        return after, (*marked, mark) if mark else marked
 
 
-def scoped(opener: int, reach: int, mark: str, until_end: bool) -> Transducer:
-    """Marks insults and threats up to ``reach`` words after ``opener`` (or up to the end of the clause) with ``mark``."""
-    arcs, rest = {}, {}
+def scoped(openers: tuple, reach: int, mark: str, until_end: bool = False) -> Transducer:
+    """Marks insults and threats up to ``reach`` words after an opener (or up to the end of the clause)."""
+    arcs, rest = {}, {s: s if until_end else max(0, s - 1) for s in range(reach + 1)}
     for s in range(reach + 1):
-        rest[s] = s if until_end else max(0, s - 1)
-        arcs[s, (opener,)] = (reach, (opener,))
-        arcs[s, (END,)] = (0, (END,))
-    marks = [(), ("targeted",), ("negated",), ("targeted", "negated")]
-    for s in range(1, reach + 1):
-        for what in (INSULT, THREAT):
-            for m in marks:
-                arcs[s, (what, *m)] = (rest[s], (what, *m, mark))
+        arcs |= {(s, o): (reach, None) for o in openers} | {(s, END): (0, None)}
+        if s:
+            arcs |= {(s, what): (rest[s], mark) for what in (INSULT, THREAT)}
+    return Transducer(arcs, rest)
+
+
+def intended(wait: int = 3, reach: int = 4) -> Transducer:
+    """Marks threats up to ``reach`` words after a modal that stands up to ``wait`` words after a speaker."""
+    last = wait + reach
+    rest = {s: 0 if s in (0, wait + 1) else s - 1 for s in range(last + 1)}
+    arcs = {}
+    for s in range(last + 1):
+        arcs |= {(s, SPEAKER): (wait, None), (s, INTENT): (last, None), (s, END): (0, None)}
+        if s:
+            arcs[s, MODAL] = (last, None)
+        if s > wait:
+            arcs[s, THREAT] = (rest[s], "meant")
     return Transducer(arcs, rest)
 
 
-def compose(*machines: Transducer, symbols: range = range(7)) -> tuple[list[list[int]], list[list[tuple]]]:
+def compose(*machines: Transducer, symbols: range = range(11)) -> tuple[list[list[int]], list[list[tuple]]]:
     """The machines one after another as one: tables of next states and of what is written, by state and symbol."""
     start = (0,) * len(machines)
-    number, order, after, written = {start: 0}, [start], [], []
+    number, order, after, written_ = {start: 0}, [start], [], []
     for state in order:
         row, out = [], []
         for symbol in symbols:
@@ -97,21 +119,23 @@ def compose(*machines: Transducer, symbols: range = range(7)) -> tuple[list[list
             row.append(number[nxt])
             out.append(now)
         after.append(row)
-        written.append(out)
-    return after, written
+        written_.append(out)
+    return after, written_
 
 
-def grammar() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed machine: next state, and index in KINDS of what a match is written as (-1 for no match)."""
-    after, written = compose(scoped(TARGET, 6, "targeted", False), scoped(NEGATION, 3, "negated", False), scoped(REPORT, 1, "reported", True))
+def forwards() -> tuple[list[list[int]], list[list[tuple]]]:
+    return compose(scoped((TARGET, SUBJECT), 6, "at"), scoped((NEGATION,), 3, "negated"), scoped((REPORT,), 1, "reported", True), intended())
 
-    def kind(out: tuple) -> int:
-        if out[0] not in (INSULT, THREAT):
-            return -1
-        scope = "negated" if "negated" in out else "reported" if "reported" in out else "asserted"
-        return KINDS.index((out[0], int("targeted" in out), scope))
 
-    return after, [[kind(o) for o in row] for row in written]
+def backwards() -> tuple[list[list[int]], list[list[tuple]]]:
+    return compose(scoped((TARGET,), 3, "at"))
+
+
+def kind_of(marks: tuple) -> int:
+    """Index in KINDS of a match with its marks from both readings."""
+    what = marks[0]
+    at = (MEANT if "meant" in marks and what == THREAT else SOMEBODY) if "at" in marks else NOBODY
+    return KINDS.index((what, at, "negated" if "negated" in marks else "reported" if "reported" in marks else "asserted"))
 
 
 def prior_symbols() -> dict[str, int]:
@@ -123,7 +147,7 @@ def beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(LEAST, min(len(word), LONGEST) + 1)] + [word + "$"]
 
 
-def trie_weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int, limit: int) -> dict[str, float]:
+def trie_weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Log odds of each state, smoothed from state to state; classes count as equally large. ``counts``: toxic and clean documents."""
     known, rates, out = prior_symbols(), {}, {}
     scale = toxic / max(clean, 1)
@@ -136,8 +160,6 @@ def trie_weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int, lim
         p, n = counts[state]
         rates[state] = (p + 2 * before) / (p + n * scale + 2)
         out[state] = math.log(rates[state] / (1 - rates[state])) if rates[state] < 1 - 1e-9 else 20.0
-    if len(out) > limit:
-        out = dict(sorted(out.items(), key=lambda x: (-sum(counts[x[0]]), x[0]))[:limit])
     return out
 
 
@@ -146,13 +168,15 @@ class Machine:
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.known = weights, prior_symbols()
-        self.after, self.kinds = grammar()
+        self.after, self.marks = forwards()
+        self.before, self.marks_before = backwards()
         self.memo: dict[str, list[tuple[int, float]]] = {}
+        self.kinds: dict[tuple, int] = {}
 
     def word(self, word: str) -> tuple[int, float]:
         """Symbol and weight of a word: what the deepest state of its path says, else the prior."""
         symbol = self.known.get(word, OTHER)
-        if symbol in (TARGET, NEGATION, REPORT):
+        if symbol not in (OTHER, INSULT, THREAT):
             return symbol, 0.0
         for state in reversed(beginnings(word)):
             if (w := self.weights.get(state)) is not None:
@@ -168,22 +192,44 @@ class Machine:
             self.memo[chunk] = got
         return self.memo[chunk]
 
+    def clause(self, clause: list[tuple[int, float]]) -> tuple[int, float] | None:
+        """Kind and weight of the best match of a clause, None if it has none."""
+        state, marks = 0, {}
+        for k, (symbol, _) in enumerate(clause):
+            if symbol in (INSULT, THREAT):
+                marks[k] = self.marks[state][symbol]
+            state = self.after[state][symbol]
+        if not marks:
+            return None
+        state, best = 0, None
+        for k in range(len(clause) - 1, -1, -1):
+            symbol, weight = clause[k]
+            if k in marks:
+                found = marks[k] + self.marks_before[state][symbol][1:]
+                if (kind := self.kinds.get(found)) is None:
+                    kind = self.kinds[found] = kind_of(found)
+                path = (PRIOR_WEIGHTS[kind] * weight, weight, -k, kind)
+                best = path if best is None or path > best else best
+            state = self.before[state][symbol]
+        return best[3], best[1]
+
     def features(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Damped sums of the weights of strong and of weak matches by kind, and number of clauses with a match."""
+        """Damped sums of the weights of strong and of weak clauses by kind, and number of clauses with a match."""
         out, clauses = np.zeros(2 * len(KINDS)), 0
         for line in (text or "").lower().split("\n"):
             parts = line.split()
             if not any(s in (INSULT, THREAT) for c in set(parts) for s, _ in self.chunk(c)):
                 continue
-            state, matched = 0, False
-            for c in parts:
-                for symbol, weight in self.chunk(c):
-                    if (k := self.kinds[state][symbol]) >= 0:
-                        out[k if weight >= STRONG else k + len(KINDS)] += weight / STRONG
-                        clauses += not matched
-                        matched = True
-                    matched = matched and symbol != END
-                    state = self.after[state][symbol]
+            clause: list[tuple[int, float]] = []
+            for read in [x for c in parts for x in self.chunk(c)] + [(END, 0.0)]:
+                if read[0] != END:
+                    clause.append(read)
+                    continue
+                if best := self.clause(clause):
+                    kind, weight = best
+                    out[kind if weight >= STRONG else kind + len(KINDS)] += weight / STRONG
+                    clauses += 1
+                clause = []
         return np.log1p(out), clauses
 
 
@@ -215,7 +261,7 @@ class Model:
         self.weights, self.kinds, self.intercept = weights, kinds, intercept
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, *, sample_toxic: int = 6_000, sample_clean: int = 10_000, lexicon_states: int = 200_000, seed: int = 11) -> Model:
+    def fit(cls, docs: DataFrame, labels: DataFrame, *, sample_toxic: int = 6_000, sample_clean: int = 10_000, least_docs: int = 3, seed: int = 11) -> Model:
         """``docs``: doc_id, text; ``labels``: doc_id, toxic. Learns from a sample of at most the given sizes."""
         spark = docs.sparkSession
         usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -223,16 +269,13 @@ class Model:
         ids = [(r["doc_id"], int(r["toxic"])) for d in drawn for r in d.collect()]
         chosen = spark.createDataFrame(ids, "doc_id long, toxic int")
         sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-        sample = sample.withColumn("fold", (F.pmod(F.xxhash64("text"), F.lit(2))).cast("int"))  # copies stay in one fold
+        sample = sample.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("h2")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+        sample = written(sample.withColumn("fold", F.pmod(F.col("h"), F.lit(2)).cast("int")))
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, str], list[int]] = defaultdict(lambda: [0, 0])
-            texts: set[int] = set()
             for batch in batches:
                 for text, toxic, fold in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["fold"].to_pylist(), strict=True):
-                    if hash(text) in texts:  # a copy teaches nothing new
-                        continue
-                    texts.add(hash(text))
                     words = set(re.findall(r"[^\W\d_]{%d,}" % LEAST, (text or "").lower()))
                     for s in {s for w in words for s in beginnings(w)}:
                         seen[fold, s][toxic] += 1
@@ -244,7 +287,7 @@ class Model:
 
         per = sample.select("text", "toxic", "fold").mapInArrow(counted, "fold int, state string, p long, n long").groupBy("fold", "state").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         both = per.groupBy("state").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("p", "n")])
-        kept = both.filter((F.col("p0") + F.col("p1") >= 3) | (F.col("state") == "")).filter((F.col("state") == "") | (F.col("p0") + F.col("p1") + F.col("n0") + F.col("n1") >= 3))
+        kept = both.filter((F.col("p0") + F.col("p1") >= least_docs) | (F.col("state") == ""))
         counts: list[dict[str, tuple[int, int]]] = [{}, {}, {}]
         for r in kept.toLocalIterator(prefetchPartitions=True):
             counts[0][r["state"]], counts[1][r["state"]] = (r["p0"], r["n0"]), (r["p1"], r["n1"])
@@ -252,7 +295,7 @@ class Model:
         lexicons = []
         for c in counts:
             toxic, clean = c.pop("", (0, 0))
-            lexicons.append(trie_weights(c, toxic, clean, lexicon_states) if toxic and clean else {})
+            lexicons.append(trie_weights(c, toxic, clean) if toxic and clean else {})
         sent = spark.sparkContext.broadcast(lexicons[:2])
 
         def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import math
 import random
 
 from duewise.llm import toxicity as tx
@@ -11,23 +12,33 @@ def score(model, texts):
 PRIOR = tx.Model({}, tx.PRIOR_WEIGHTS, tx.PRIOR_INTERCEPT)
 
 
+TOXIC = ["You are an idiot.", "I will kill you", "we're going to hurt them", "Shut up, idiots like you are worthless scum and you know it", "I'll destroy you!", "du bist ein idiot", "what a moron you are"]
+FINE = [
+    "idiot", "garbage collection", "the garbage truck", "Take out the trash.", "we kill time", "The verb kill is irregular", "you are not an idiot", "he said they are idiot material",
+    "I will not hurt you", "She wrote that you are a moron", "we will destroy the wall", "what a fine day",
+]
+
+
 def test_clauses_not_words_are_scored():
-    plain, negated, reported, other_clause, clean = score(PRIOR, ["you are an idiot", "you are not an idiot", "he said they are idiot material", "he said hello. you idiot", "what a fine day"])
-    assert plain > other_clause - 1 and plain > negated and plain > reported > clean and other_clause > reported
+    for texts, toxic in ((TOXIC, True), (FINE, False)):
+        for text, z in zip(texts, score(PRIOR, texts), strict=True):
+            assert (1 / (1 + math.exp(-z)) >= tx.THRESHOLD) == toxic, (text, z)
 
 
-def test_targets_raise_threats():
-    a, b = score(PRIOR, ["they will hurt a wall , we destroy the wall", "we destroy the wall"])
-    assert a > b
+def test_targets_raise_insults_and_threats():
+    a, b, c, d = score(PRIOR, ["I will hurt you", "they hurt you", "hurt the wall", "say hurt you"])
+    assert a > b > c and b > d
+    near, far = score(PRIOR, ["an idiot like you", "an idiot went to the market and there met you"])
+    assert near > far
 
 
 def test_composed_machine_equals_the_machines_in_a_row():
-    machines = [tx.scoped(tx.TARGET, 6, "targeted", False), tx.scoped(tx.NEGATION, 3, "negated", False), tx.scoped(tx.REPORT, 1, "reported", True)]
+    machines = [tx.scoped((tx.TARGET, tx.SUBJECT), 6, "at"), tx.scoped((tx.NEGATION,), 3, "negated"), tx.scoped((tx.REPORT,), 1, "reported", True), tx.intended()]
     after, written = tx.compose(*machines)
     rng = random.Random(1)
     for _ in range(200):
-        states, at = [0, 0, 0], 0
-        for symbol in (rng.randrange(7) for _ in range(12)):
+        states, at = [0] * len(machines), 0
+        for symbol in (rng.randrange(11) for _ in range(12)):
             now = (symbol,)
             for k, m in enumerate(machines):
                 states[k], now = m.step(states[k], now)
@@ -35,6 +46,31 @@ def test_composed_machine_equals_the_machines_in_a_row():
             at = after[at][symbol]
 
 
+def brute_clause(symbols):
+    """Marks of each insult and threat in a clause, by looking at all words around it."""
+    def last(k, wanted, reach):
+        return any(symbols[j] in wanted for j in range(max(0, k - reach), k))
+
+    out = {}
+    for k, s in enumerate(symbols):
+        if s in (tx.INSULT, tx.THREAT):
+            at = last(k, (tx.TARGET, tx.SUBJECT), 6) or any(x == tx.TARGET for x in symbols[k + 1 : k + 4])
+            out[k] = at, last(k, (tx.NEGATION,), 3), tx.REPORT in symbols[:k]
+    return out
+
+
+def test_matches_against_brute_force():
+    rng, machine = random.Random(7), tx.Machine({})
+    for _ in range(500):
+        symbols = [rng.choice([tx.OTHER, tx.OTHER, tx.OTHER, tx.INSULT, tx.TARGET, tx.SUBJECT, tx.NEGATION, tx.REPORT]) for _ in range(rng.randint(1, 14))]
+        got = machine.clause([(s, 3.0) for s in symbols])
+        want = [(tx.INSULT, tx.SOMEBODY if at else tx.NOBODY, "negated" if no else "reported" if told else "asserted") for at, no, told in brute_clause(symbols).values()]
+        if want:
+            assert got[0] in {tx.KINDS.index(w) for w in want} and tx.PRIOR_WEIGHTS[got[0]] == max(tx.PRIOR_WEIGHTS[tx.KINDS.index(w)] for w in want)
+        else:
+            assert got is None
+
+
 def test_learns_stems_and_meets_held_out_labels(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeimnor") for _ in range(rng.randint(2, 7)))
