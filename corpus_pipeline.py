@@ -1,6 +1,12 @@
 """The corpus pipeline: documents go through toxicity, line dedup, near-duplicate removal, mixing and encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, and only those.
+
+Edge cases: documents without text pass all stages and end with no ids; documents that line dedup empties go, as all their
+lines stand elsewhere; of near duplicates the one with the smallest doc_id stays (nulls last, then the first row). Rows are told
+apart by place, so rows that share or lack a doc_id are documents of their own, and of rows alike in everything one stays. A
+null language or source is a value like others. Empty tables, and documents without any label, give an empty result and the
+prior's verdicts.
 """
 
 from __future__ import annotations
@@ -24,16 +30,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the lines that stand earlier in the corpus; n_chars follows."""
-    return lines.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+    """The documents, less the lines that stand earlier in the corpus and less those that nothing is left of; n_chars follows."""
+    left = lines.dedup(docs.select(*COLUMNS))
+    emptied = (F.col("n_dropped") > 0) & (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) == "")
+    return left.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of similar ones."""
-    docs = docs.select(*COLUMNS)
-    found, _ = jaccard.join(docs.select("doc_id", "text"))
-    others = written(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small(others, others.count()), "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found, _ = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = written(found.filter("n_links > 0").select(F.col("doc_id").alias("_row"), "component_id"))
+    members = found.join(rows.select("_row", "doc_id"), "_row").select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("at"))
+    first = members.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at._row").alias("_row"))
+    others = written(found.select("_row").join(first, "_row", "left_anti"))
+    return rows.join(small(others, others.count()), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
