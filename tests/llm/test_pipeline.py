@@ -38,7 +38,9 @@ def test_stages_act_one_after_another(spark, tmp_path):
     toxic, deduped, single, mixed, encoded = seen
     left = {r["doc_id"] for r in toxic.collect()}
     assert not {i for i in left if i < 240 and i % 6 == 0} and {i for i in range(240) if i % 6} | {300, 301} <= left
-    assert deduped.count() == toxic.count()
+    cut = lines.dedup(toxic).collect()
+    emptied = {r["doc_id"] for r in cut if r["n_dropped"] and not r["text"].strip()}
+    assert emptied and {r["doc_id"] for r in deduped.collect()} == {r["doc_id"] for r in cut} - emptied
     again = lines.dedup(deduped.select("doc_id", "text"))
     assert again.filter("n_dropped > 0").count() == 0 or again.agg({"n_dropped": "sum"}).first()[0] < 5
     rows, _ = jaccard.join(deduped.select("doc_id", "text"))
@@ -58,3 +60,21 @@ def test_stages_act_one_after_another(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["token_ids"]) for r in whole.collect()) == sorted((r["doc_id"], r["token_ids"]) for r in encoded.collect())
     assert len(docs) > whole.select("doc_id").distinct().count() and toxicity.THRESHOLD == 0.7
+
+
+def test_missing_and_repeated_ids_and_empty_tables(spark, tmp_path):
+    docs = fixture(spark, tmp_path)
+    text = lambda k: "\n".join(" ".join(f"w{k}x{j}y{i}" for i in range(12)) for j in range(3))
+    rows = [(None, text(1), "en", "a", 1, 5), (None, text(2), "en", "a", 1, 5), (7, text(3), None, None, 1, 5), (7, text(4), "en", "a", 1, 5), (7, text(4), "en", "a", 1, 5), (9, None, None, None, None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        frame = stage(spark, frame, str(tmp_path))
+    got = sorted((repr(r["doc_id"]), r["text"] or "") for r in frame.collect())
+    assert got == sorted([("None", text(1)), ("None", text(2)), ("7", text(3)), ("7", text(4)), ("9", "")]) and docs
+    copies = spark.createDataFrame([(k, text(5), "en", "a", 1) for k in (None, 4, 3, 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, copies, str(tmp_path)).collect()] == [3]
+    empty = frame.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
+        empty = empty if "text" in empty.columns else None
