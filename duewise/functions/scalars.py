@@ -82,10 +82,10 @@ def day_index(d: Column, start: Column) -> Column:
 
 
 def node_key(label: Column) -> list[Column]:
-    """Order of firms: number after the first colon, then fiscal or company labels before others, then the label."""
+    """Order of firms: number after the first colon, then fiscal or company labels (what stands before the colon, or all) before others, then the label."""
     tail = F.when(label.contains(":"), F.regexp_extract(label, r"^[^:]*:(.*)$", 1))
     number = F.when(tail.rlike(r"^\d+$"), tail.try_cast("decimal(38,0)"))
-    space = F.when(label.contains(":"), F.substring_index(label, ":", 1)).otherwise("")
+    space = F.substring_index(label, ":", 1)
     return [F.coalesce(number, F.lit(0)), F.when(space.isin("cif", "company"), 0).otherwise(1), label]
 
 

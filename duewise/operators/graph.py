@@ -18,6 +18,15 @@ def two_paths(edges: DataFrame) -> DataFrame:
     return left.join(right, "intermediary").withColumn("bilateral", F.col("payer") == F.col("payee"))
 
 
+def two_path_counts(edges: DataFrame) -> DataFrame:
+    """(intermediary, paths, reciprocal): numbers of ``two_paths`` through each firm, from its edges in and out; no path is made."""
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("back"))
+    both = edges.select("u", "v").join(back, ["u", "v"], "left")
+    ends = both.select(F.col("v").alias("intermediary"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.coalesce("back", F.lit(0)).alias("r")).union(both.select("u", F.lit(0), F.lit(1), F.lit(0)))
+    counts = ends.groupBy("intermediary").agg((F.sum("i") * F.sum("o")).alias("paths"), F.sum("r").alias("reciprocal"))
+    return counts.filter("paths > 0")
+
+
 def intermediaries(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node_id")).intersect(edges.select("u"))
 

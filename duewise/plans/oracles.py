@@ -62,8 +62,17 @@ ORACLE_SQL = {
     "cycle_common_day_capacity": f"WITH RECURSIVE {_RAW}{_M}{_EM}{_cap('res', 'cap')}{_loops(6)}{_ON}, d AS (SELECT DISTINCT cycle, day_from AS day_index FROM span), m AS (SELECT d.cycle, day_index, min(capacity) AS amount, count(*) AS have, max(need) AS need FROM d JOIN span s ON d.cycle = s.cycle AND day_index BETWEEN day_from AND day_to GROUP BY d.cycle, day_index), r AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY amount DESC, day_index) AS k FROM m WHERE have = need) SELECT cycle, amount AS amount_cents, day_index FROM r WHERE k = 1",
     "feasible_cycle_days": f"WITH RECURSIVE {_RAW}{_M}{_EM}{_cap('res', 'cap')}{_loops(6)}{_ON}, d AS (SELECT CAST(range AS INTEGER) AS day_index FROM range(31)) SELECT cycle, day_index, min(capacity) AS amount_cents FROM d JOIN span ON day_index BETWEEN day_from AND day_to GROUP BY cycle, day_index HAVING count(*) = max(need)",
     "topology_degrees": f"WITH {_RAW}, p AS (SELECT DISTINCT debtor, creditor FROM inv) SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT debtor AS node, 0 AS i, 1 AS o FROM p UNION ALL SELECT creditor, 1, 0 FROM p) GROUP BY node",
-    "weak_components": f"WITH RECURSIVE {_RAW}{_MONTH}, l AS (SELECT u AS a, v AS b FROM mon UNION SELECT v, u FROM mon), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY node",
-    "strong_components": f"WITH RECURSIVE {_RAW}{_MONTH}, l AS (SELECT DISTINCT u AS a, v AS b FROM mon), k AS (SELECT a AS node FROM l UNION SELECT b FROM l), r AS (SELECT node, node AS seen FROM k UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(x.node AS BIGINT) AS node, CAST(min(x.seen) AS BIGINT) AS component FROM r x JOIN r y ON x.node = y.seen AND x.seen = y.node GROUP BY x.node",
+    "weak_components": f"WITH RECURSIVE {_RAW}, l AS (SELECT u AS a, v AS b FROM inv UNION SELECT v, u FROM inv), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY node",
+    "strong_components": f"WITH RECURSIVE {_RAW}, l AS (SELECT DISTINCT u AS a, v AS b FROM inv), k AS (SELECT a AS node FROM l UNION SELECT b FROM l), r AS (SELECT node, node AS seen FROM k UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(x.node AS BIGINT) AS node, CAST(min(x.seen) AS BIGINT) AS component FROM r x JOIN r y ON x.node = y.seen AND x.seen = y.node GROUP BY x.node",
+    "topology": f"""WITH RECURSIVE {_RAW}, p AS (SELECT DISTINCT u, v FROM inv), l AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p), k AS (SELECT DISTINCT a AS node FROM l),
+wr AS (SELECT node, node AS seen FROM k UNION SELECT wr.node, l.b FROM wr JOIN l ON wr.seen = l.a), sr AS (SELECT node, node AS seen FROM k UNION SELECT sr.node, p.v FROM sr JOIN p ON sr.seen = p.u),
+wc AS (SELECT c, count(*) AS n FROM (SELECT node, min(seen) AS c FROM wr GROUP BY node) GROUP BY c),
+sn AS (SELECT x.node, min(x.seen) AS c FROM sr x JOIN sr y ON x.node = y.seen AND x.seen = y.node GROUP BY x.node), sc AS (SELECT c, count(*) AS n FROM sn GROUP BY c),
+d AS (SELECT node, (SELECT count(*) FROM p WHERE v = node) * (SELECT count(*) FROM p WHERE u = node) AS paths, node IN (SELECT node FROM sn JOIN sc USING (c) WHERE n > 1) AS cyclic FROM k),
+t AS (SELECT (SELECT count(*) FROM k) AS firms, (SELECT count(*) FROM p) AS edges, (SELECT count(*) FROM p x JOIN p y ON x.u = y.v AND x.v = y.u) AS back, (SELECT count(*) FROM wc) AS weak_components, (SELECT max(n) FROM wc) AS wl, (SELECT count(*) FROM sc) AS strong_components, (SELECT max(n) FROM sc) AS sl,
+ count(*) FILTER (cyclic) AS firms_nontrivial_scc, CAST(sum(paths) AS BIGINT) AS local_two_edge_paths, CAST(coalesce(sum(paths) FILTER (cyclic), 0) AS BIGINT) AS cyclic_local_two_edge_paths FROM d)
+SELECT firms, edges, edges / (firms * (firms - 1)) AS directed_density, back / edges AS reciprocity, weak_components, wl / firms AS largest_wcc_share, strong_components, sl / firms AS largest_scc_share, firms_nontrivial_scc, local_two_edge_paths, cyclic_local_two_edge_paths,
+ cyclic_local_two_edge_paths / local_two_edge_paths AS cycle_closure_ratio, CASE WHEN cyclic_local_two_edge_paths > 0 THEN local_two_edge_paths / cyclic_local_two_edge_paths ELSE CAST('inf' AS DOUBLE) END AS topological_opportunity_ratio FROM t""",
     "single_day_bilateral_clearing": f"WITH {_RAW}{_DAY} SELECT a, b, amount AS amount_cents, 2 * amount AS pmr_cents FROM ops",
     "waterfall_consumption": f"WITH {_RAW}{_DAY} SELECT op_id, edge_id, uid, taken AS amount_cents, before FROM frag",
     "fifo_leg_pairing": f"WITH {_RAW}{_DAY} SELECT f.op_id, f.uid AS in_uid, g.uid AS out_uid, least(f.before + f.taken, g.before + g.taken) - greatest(f.before, g.before) AS paired, CAST(greatest(0, f.due_ordinal - g.due_ordinal) AS BIGINT) AS acceleration FROM frag f JOIN frag g ON f.op_id = g.op_id AND f.u < f.v AND g.u > g.v AND f.before < g.before + g.taken AND g.before < f.before + f.taken",

@@ -113,7 +113,8 @@ def main(args: list[str] | None = None) -> int:
         elif a.command == "topology":
             print(files.report_json(graph.topology(load_atomic_csv(spark, a.records)).first().asDict()), end="")
         else:  # what a figure would show, as a table
-            read_curve(spark, a.records).withColumn("advantage", F.col("path") - F.col("cycle")).orderBy("date").show(1000, False)
+            shown = read_curve(spark, a.records).withColumn("advantage", F.col("path") - F.col("cycle"))
+            shown.orderBy("date").show(max(1, shown.count()), False)
     except (ValueError, RecordError, ReplayError) as e:
         parser.error(str(e))
     return 0

@@ -29,8 +29,9 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read("supplier").agg(F.count(F.lit(1)).alias("n"))
     lines = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)))
-    rows = lines.join(read("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).crossJoin(F.broadcast(n))  # n is one row
+    rows = lines.join(read("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # numbered after the join, by its partitions: one shuffle of lines; the date is among the keys so that periods are cut before
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "o_orderdate").orderBy(*order))).crossJoin(F.broadcast(n))  # n is one row
     rows = rows.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "rn").alias("uid"), F.concat(F.lit("company:"), F.col("o_custkey") % F.col("n")).alias("debtor"), F.concat(F.lit("company:"), F.col("l_suppkey") % F.col("n")).alias("creditor"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount_cents"), F.to_date("o_orderdate").alias("issue_date"), F.to_date("l_shipdate").alias("due_date"), F.lit("").alias("status"), F.lit("").alias("source"),
@@ -111,8 +112,7 @@ def edge_day_capacity(spark, d):
 
 
 def two_paths(spark, d):
-    paths = graph.two_paths(_edges(invoices(spark, d)))
-    return paths.groupBy("intermediary").agg(F.count(F.lit(1)).alias("paths"), F.count_if("bilateral").alias("reciprocal"))
+    return graph.two_path_counts(_edges(invoices(spark, d)))
 
 
 def reciprocal_pairs(spark, d):
@@ -159,18 +159,10 @@ def _links(records: DataFrame) -> DataFrame:
 
 
 def weak_parts(spark, d):
-    return weak_components(_links(_issued(invoices(spark, d), MONTH)))
-
-
-def strong_parts(spark, d):
-    return strong_components(_links(_issued(invoices(spark, d), MONTH)))
-
-
-def weak_parts_all(spark, d):
     return weak_components(_links(invoices(spark, d)))
 
 
-def strong_parts_all(spark, d):
+def strong_parts(spark, d):
     return strong_components(_links(invoices(spark, d)))
 
 
@@ -338,6 +330,6 @@ QUERIES = {
     "topology_degrees": topology_degrees, "weak_components": weak_parts, "strong_components": strong_parts, "topology": topology, "single_day_bilateral_clearing": single_day_bilateral_clearing,
     "waterfall_consumption": waterfall_consumption, "fifo_leg_pairing": fifo_leg_pairing, "residuals_after_day": residuals_after_day, "cohort_attribution_rules": cohort_attribution_rules, "consumption_ledger": consumption_ledger,
     "best_path_per_intermediary": best_path_per_intermediary, "representative_days": representative_days, "lp_model_size": lp_model_size, "event_days": event_days, "path_curve": path_curve, "operation_log": operation_log,
-    "weak_components_all": weak_parts_all, "strong_components_all": strong_parts_all, "lp_model_size_all": lp_model_size_all, "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
+    "lp_model_size_all": lp_model_size_all, "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
     **{f"policy_{p}": _policy(p) for p in ("path_daily_local", "path_daily", "path_daily_amount", "path_offline_local", "path_offline", "path_offline_amount", "cycle_daily", "cycle_offline", "mixed_cycle_then_path", "mixed_path_then_cycle")},
 }

@@ -86,7 +86,10 @@ def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def demand_digests(spark: SparkSession, wanted: dict[str, str]) -> None:
-    """Raises RecordError unless every file has its digest."""
-    have = {r["path"].split("/")[-1]: r["sha256"] for r in file_digests(spark, list(wanted)).collect()}
-    if bad := sorted(p for p, d in wanted.items() if have.get(p.split("/")[-1]) != d):
+    """Raises RecordError unless every file, by its whole path, has its digest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    whole = lambda p: path(p).getFileSystem(conf).makeQualified(path(p)).toString()
+    have = {whole(r["path"]): r["sha256"] for r in file_digests(spark, list(wanted)).collect()}
+    if bad := sorted(p for p, d in wanted.items() if have.get(whole(p)) != d):
         raise RecordError(f"files with other contents than pinned: {bad}")
