@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duewise.functions import scalars as S
 from duewise.operators.components import strong_components, weak_components
-from duewise.operators.state import capacity_by_day
+from duewise.operators.state import capacity_by_day, capacity_events
 from duewise.storage import small, written
 
 
@@ -78,11 +78,20 @@ def inventory(found: DataFrame) -> DataFrame:
     return found.groupBy(F.size("nodes").alias("length")).agg(F.count(F.lit(1)).alias("cycles"))
 
 
+def feasible_stretches(found: DataFrame, residuals: DataFrame) -> DataFrame:
+    """(nodes, edges, day_from, day_to, amount_cents): stretches of days on which a cycle can clear one and the same amount."""
+    key = ["nodes", "edges"]
+    spans = found.select(*key, F.explode("edges").alias("edge_id")).join(capacity_events(residuals), "edge_id").withColumnsRenamed({"day_from": "first", "day_to": "last"})
+    cuts = spans.select(*key, F.explode(F.array("first", F.col("last") + 1)).alias("day_from")).distinct()
+    cuts = cuts.withColumn("day_to", F.lead("day_from").over(Window.partitionBy(*key).orderBy("day_from")) - 1).filter("day_to is not null")
+    on = spans.join(cuts, key).filter(F.col("day_from").between(F.col("first"), F.col("last")))
+    on = on.groupBy(*key, "day_from", "day_to").agg(F.min("capacity").alias("amount_cents"), F.count(F.lit(1)).alias("have"))
+    return on.filter(F.col("have") == F.size("edges")).drop("have")
+
+
 def feasible_cycle_days(found: DataFrame, residuals: DataFrame) -> DataFrame:
     """(nodes, edges, day_index, amount_cents) of each day on which a cycle can clear something."""
-    members = found.select("nodes", "edges", F.explode("edges").alias("edge_id"))
-    on = members.join(capacity_by_day(residuals), "edge_id").groupBy("nodes", "edges", "day_index").agg(F.min("capacity").alias("amount_cents"), F.count(F.lit(1)).alias("have"))
-    return on.filter(F.col("have") == F.size("edges")).drop("have")
+    return feasible_stretches(found, residuals).select("nodes", "edges", F.explode(F.sequence("day_from", "day_to")).alias("day_index"), "amount_cents")
 
 
 def degrees(pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ raw0 AS (SELECT l_orderkey || ':' || l_linenumber || ':' || row_number() OVER (P
 rawi AS (SELECT *, 'company:' || u AS debtor, 'company:' || v AS creditor, CAST(year(issue_date) AS VARCHAR) AS cohort, u * 100000 + v AS edge_id,
  CASE WHEN amount_cents IS NULL OR amount_cents <= 0 THEN 'bad amount' WHEN due_date IS NULL THEN 'bad due' WHEN due_date < issue_date THEN 'negative maturity' WHEN u = v THEN 'self' END AS reason FROM raw0),
 inv AS (SELECT * FROM rawi WHERE reason IS NULL)"""
-_MONTH = ", mon AS (SELECT * FROM inv WHERE issue_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31')"
 
 
 def _res(source: str, name: str, start: str, end: str, days: int) -> str:
@@ -23,9 +22,7 @@ def _cap(source: str, name: str) -> str:
 
 
 _Y = _res("inv", "res", "1998-01-01", "1998-12-31", 365)
-_M = _MONTH + _res("mon", "res", "1998-03-01", "1998-03-31", 31)
 _E = ", e AS (SELECT DISTINCT u, v, edge_id FROM inv)"
-_EM = ", e AS (SELECT DISTINCT u, v, edge_id FROM mon)"
 _DAY = _Y + """, cap AS (SELECT edge_id, u, v, CAST(sum(residual) AS BIGINT) AS capacity FROM res WHERE 74 BETWEEN issue_index AND due_index GROUP BY edge_id, u, v),
 ops AS (SELECT f.u AS a, f.v AS b, f.edge_id, g.edge_id AS back_edge, least(f.capacity, g.capacity) AS amount, f.u || '-' || f.v AS op_id FROM cap f JOIN cap g ON f.u = g.v AND f.v = g.u WHERE f.u < f.v),
 want AS (SELECT op_id, edge_id, amount FROM ops UNION ALL SELECT op_id, back_edge, amount FROM ops),
@@ -43,6 +40,15 @@ loops AS (SELECT g.nodes, list_append(g.edges, e.edge_id) AS edges, array_to_str
 _ON = """, lp AS (SELECT cycle, len(edges) AS need, unnest(edges) AS edge_id FROM loops),
 span AS (SELECT cycle, need, day_from, day_to, capacity FROM lp JOIN cap USING (edge_id))"""
 
+_BEST = """, i AS (SELECT v AS firm, u AS payer, capacity, row_number() OVER (PARTITION BY v ORDER BY capacity DESC, u) AS k FROM cap), o AS (SELECT u AS firm, v AS payee, capacity, row_number() OVER (PARTITION BY u ORDER BY capacity DESC, v) AS j FROM cap), s AS (SELECT i.firm, payer = payee AS same FROM i JOIN o ON i.firm = o.firm WHERE k = 1 AND j = 1), c AS (SELECT i.firm, least(i.capacity, o.capacity) AS q, 1 AS rk, payer, payee FROM i JOIN o ON i.firm = o.firm JOIN s ON s.firm = i.firm WHERE (NOT same AND k = 1 AND j = 1) OR (same AND k + j = 3) UNION ALL SELECT i.firm, least(i.capacity, o.capacity), 0, payer, payee FROM i JOIN o ON i.firm = o.firm AND payer = payee), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY -q * (2 - rk), -q, rk, payer, payee) AS n FROM c)"""
+_ALL = """, days AS (SELECT min(issue_date) AS start, date_diff('day', min(issue_date), max(due_date)) + 1 AS n FROM inv),
+res AS (SELECT uid, edge_id, date_diff('day', start, issue_date) AS issue_index, date_diff('day', start, due_date) AS due_index FROM inv, days)"""
+_SPLIT = _BEST + """, pw AS (SELECT firm, payer * 100000 + firm AS edge_id, q, 0 AS leg, payer = payee AS bi FROM r WHERE n = 1 UNION ALL SELECT firm, firm * 100000 + payee, q, 1, payer = payee FROM r WHERE n = 1),
+pr AS (SELECT firm, leg, bi, uid, q, residual, coalesce(sum(residual) OVER (PARTITION BY firm, leg ORDER BY due_ordinal, issue_ordinal, uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ FROM res JOIN pw ON res.edge_id = pw.edge_id WHERE 74 BETWEEN issue_index AND due_index),
+pf AS (SELECT pr.*, least(residual, q - before) AS taken, CASE WHEN cohort = '1998' THEN 1 ELSE 0 END AS mine FROM pr JOIN inv ON pr.uid = inv.uid WHERE q > before),
+pp AS (SELECT f.firm, least(f.before + f.taken, g.before + g.taken) - greatest(f.before, g.before) AS x, f.mine AS a, g.mine AS b FROM pf f JOIN pf g ON f.firm = g.firm AND f.leg = 0 AND g.leg = 1 AND f.before < g.before + g.taken AND g.before < f.before + f.taken WHERE NOT f.bi)"""
+
 ORACLE_SQL = {
     "invoice_scan_by_year": f"WITH {_RAW} SELECT CAST(year(issue_date) AS INTEGER) AS issue_year, count(*) AS n_records, CAST(sum(amount_cents) AS BIGINT) AS mass_cents, min(due_date) AS first_due, max(due_date) AS last_due FROM inv GROUP BY year(issue_date)",
     "reject_audit": f"WITH {_RAW} SELECT coalesce(reason, 'retained') AS reject_reason, count(*) AS n_rows, CAST(coalesce(sum(amount_cents), 0) AS BIGINT) AS mass_cents FROM rawi GROUP BY coalesce(reason, 'retained')",
@@ -58,9 +64,9 @@ ORACLE_SQL = {
     "reciprocal_pairs": f"WITH {_RAW}{_E} SELECT f.u AS a, f.v AS b, f.edge_id AS forward_edge, g.edge_id AS back_edge FROM e f JOIN e g ON f.u = g.v AND f.v = g.u WHERE f.u < f.v",
     "pair_common_day_capacity": f"WITH {_RAW}{_E}{_Y}{_cap('res', 'cap')}, p AS (SELECT f.u AS a, f.v AS b, f.edge_id AS x, g.edge_id AS y FROM e f JOIN e g ON f.u = g.v AND f.v = g.u WHERE f.u < f.v), m AS (SELECT a, b, greatest(c.day_from, d.day_from) AS day_index, least(c.capacity, d.capacity) AS amount_cents FROM p JOIN cap c ON c.edge_id = x JOIN cap d ON d.edge_id = y WHERE c.day_from <= d.day_to AND d.day_from <= c.day_to), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY amount_cents DESC, day_index) AS k FROM m) SELECT a, b, amount_cents, day_index FROM r WHERE k = 1",
     "cycles_bounded": f"WITH RECURSIVE {_RAW}{_E}{_loops(3)} SELECT CAST(len(nodes) AS INTEGER) AS length, nodes[1] AS first_node, count(*) AS cycles, min(cycle) AS least, max(cycle) AS greatest FROM loops GROUP BY len(nodes), nodes[1]",
-    "cycle_inventory": f"WITH RECURSIVE {_RAW}{_MONTH}{_EM}{_loops(8)} SELECT CAST(len(nodes) AS INTEGER) AS length, count(*) AS cycles FROM loops GROUP BY len(nodes)",
-    "cycle_common_day_capacity": f"WITH RECURSIVE {_RAW}{_M}{_EM}{_cap('res', 'cap')}{_loops(6)}{_ON}, d AS (SELECT DISTINCT cycle, day_from AS day_index FROM span), m AS (SELECT d.cycle, day_index, min(capacity) AS amount, count(*) AS have, max(need) AS need FROM d JOIN span s ON d.cycle = s.cycle AND day_index BETWEEN day_from AND day_to GROUP BY d.cycle, day_index), r AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY amount DESC, day_index) AS k FROM m WHERE have = need) SELECT cycle, amount AS amount_cents, day_index FROM r WHERE k = 1",
-    "feasible_cycle_days": f"WITH RECURSIVE {_RAW}{_M}{_EM}{_cap('res', 'cap')}{_loops(6)}{_ON}, d AS (SELECT CAST(range AS INTEGER) AS day_index FROM range(31)) SELECT cycle, day_index, min(capacity) AS amount_cents FROM d JOIN span ON day_index BETWEEN day_from AND day_to GROUP BY cycle, day_index HAVING count(*) = max(need)",
+    "cycle_inventory": f"WITH RECURSIVE {_RAW}{_E}{_loops(3)} SELECT CAST(len(nodes) AS INTEGER) AS length, count(*) AS cycles FROM loops GROUP BY len(nodes)",
+    "cycle_common_day_capacity": f"WITH RECURSIVE {_RAW}{_Y}{_E}{_cap('res', 'cap')}{_loops(3)}{_ON}, d AS (SELECT DISTINCT cycle, day_from AS day_index FROM span), m AS (SELECT d.cycle, day_index, min(capacity) AS amount, count(*) AS have, max(need) AS need FROM d JOIN span s ON d.cycle = s.cycle AND day_index BETWEEN day_from AND day_to GROUP BY d.cycle, day_index), r AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY amount DESC, day_index) AS k FROM m WHERE have = need) SELECT cycle, amount AS amount_cents, day_index FROM r WHERE k = 1",
+    "feasible_cycle_days": f"WITH {_RAW}{_Y}{_cap('res', 'cap')}, d AS (SELECT CAST(range AS INTEGER) AS day_index FROM range(365)), on_ AS (SELECT day_index, edge_id // 100000 AS u, edge_id % 100000 AS v, capacity AS c FROM d JOIN cap ON day_index BETWEEN day_from AND day_to), m AS (SELECT x.day_index, least(x.c, y.c) AS amount FROM on_ x JOIN on_ y ON x.day_index = y.day_index AND x.v = y.u AND y.v = x.u WHERE x.u < x.v UNION ALL SELECT x.day_index, least(x.c, y.c, z.c) FROM on_ x JOIN on_ y ON x.day_index = y.day_index AND x.v = y.u JOIN on_ z ON z.day_index = y.day_index AND y.v = z.u AND z.v = x.u WHERE x.u < x.v AND x.u < y.v) SELECT day_index, count(*) AS cycles, CAST(sum(amount) AS BIGINT) AS amount_cents, max(amount) AS largest FROM m GROUP BY day_index",
     "topology_degrees": f"WITH {_RAW}, p AS (SELECT DISTINCT debtor, creditor FROM inv) SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT debtor AS node, 0 AS i, 1 AS o FROM p UNION ALL SELECT creditor, 1, 0 FROM p) GROUP BY node",
     "weak_components": f"WITH RECURSIVE {_RAW}, l AS (SELECT u AS a, v AS b FROM inv UNION SELECT v, u FROM inv), r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY node",
     "strong_components": f"WITH RECURSIVE {_RAW}, l AS (SELECT DISTINCT u AS a, v AS b FROM inv), k AS (SELECT a AS node FROM l UNION SELECT b FROM l), r AS (SELECT node, node AS seen FROM k UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT CAST(x.node AS BIGINT) AS node, CAST(min(x.seen) AS BIGINT) AS component FROM r x JOIN r y ON x.node = y.seen AND x.seen = y.node GROUP BY x.node",
@@ -79,8 +85,9 @@ SELECT firms, edges, edges / (firms * (firms - 1)) AS directed_density, back / e
     "residuals_after_day": f"WITH {_RAW}{_DAY}, gone AS (SELECT uid, sum(taken) AS x FROM frag GROUP BY uid), rest AS (SELECT cohort, amount_cents - coalesce(x, 0) AS y FROM inv LEFT JOIN gone USING (uid)) SELECT cohort, count(*) AS n_records, CAST(sum(y) AS BIGINT) AS mass_cents FROM rest WHERE y > 0 GROUP BY cohort",
     "cohort_attribution_rules": f"WITH {_RAW}{_DAY}, s AS (SELECT op_id, CAST(2 * sum(CASE WHEN cohort = '1998' THEN taken ELSE 0 END) AS BIGINT) AS x FROM frag JOIN inv USING (uid) GROUP BY op_id) SELECT op_id, x AS symmetric, x AS conservative, x AS liberal FROM s",
     "consumption_ledger": f"WITH {_RAW}{_DAY}, gone AS (SELECT uid, sum(taken) AS x FROM frag GROUP BY uid) SELECT count(*) AS introduced_records, true AS introduced_once, count(x) AS consumed_records, CAST(0 AS BIGINT) AS consumed_record_uid_count, CAST(sum(CASE WHEN x > amount_cents THEN 1 ELSE 0 END) AS BIGINT) AS overconsumed_records, CAST(greatest(0, max(coalesce(x, 0) - amount_cents)) AS BIGINT) AS maximum_overconsumption_cents, true AS all_pass FROM inv LEFT JOIN gone USING (uid)",
-    "best_path_per_intermediary": f"WITH {_RAW}{_DAY}, i AS (SELECT v AS firm, u AS payer, capacity, row_number() OVER (PARTITION BY v ORDER BY capacity DESC, u) AS k FROM cap), o AS (SELECT u AS firm, v AS payee, capacity, row_number() OVER (PARTITION BY u ORDER BY capacity DESC, v) AS j FROM cap), s AS (SELECT i.firm, payer = payee AS same FROM i JOIN o ON i.firm = o.firm WHERE k = 1 AND j = 1), c AS (SELECT i.firm, least(i.capacity, o.capacity) AS q, 1 AS rk, payer, payee FROM i JOIN o ON i.firm = o.firm JOIN s ON s.firm = i.firm WHERE (NOT same AND k = 1 AND j = 1) OR (same AND k + j = 3) UNION ALL SELECT i.firm, least(i.capacity, o.capacity), 0, payer, payee FROM i JOIN o ON i.firm = o.firm AND payer = payee), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY -q * (2 - rk), -q, rk, payer, payee) AS n FROM c) SELECT firm, payer, payee, q AS amount_cents, q * (2 - rk) AS pmr_cents FROM r WHERE n = 1",
+    "best_path_per_intermediary": f"WITH {_RAW}{_DAY}{_BEST} SELECT firm, payer, payee, q AS amount_cents, q * (2 - rk) AS pmr_cents FROM r WHERE n = 1",
+    "fragment_pair_attribution": f"WITH {_RAW}{_DAY}{_SPLIT} SELECT firm, CAST(sum(x * (a + b)) AS BIGINT) AS symmetric, CAST(sum(2 * x * a * b) AS BIGINT) AS conservative, CAST(sum(2 * x * greatest(a, b)) AS BIGINT) AS liberal FROM pp GROUP BY firm UNION ALL SELECT firm, CAST(2 * sum(taken * mine) AS BIGINT), CAST(2 * sum(taken * mine) AS BIGINT), CAST(2 * sum(taken * mine) AS BIGINT) FROM pf WHERE bi GROUP BY firm",
     "representative_days": f"WITH {_RAW}{_Y} SELECT DISTINCT CAST(d AS INTEGER) AS day_index FROM (SELECT 0 AS d UNION SELECT issue_index FROM res UNION SELECT due_index + 1 FROM res) WHERE d < 365",
-    "lp_model_size": f"WITH {_RAW}{_M}{_EM}, day AS (SELECT DISTINCT d FROM (SELECT 0 AS d UNION SELECT issue_index FROM res UNION SELECT due_index + 1 FROM res) WHERE d < 31), p AS (SELECT f.u || '-' || f.v AS label, f.edge_id AS x, g.edge_id AS y FROM e f JOIN e g ON f.u = g.v AND f.v = g.u WHERE f.u < f.v), leg AS (SELECT label, x AS edge_id FROM p UNION ALL SELECT label, y FROM p), m AS (SELECT label, d, leg.edge_id, uid FROM leg JOIN res r ON leg.edge_id = r.edge_id JOIN day ON d BETWEEN issue_index AND due_index), ok AS (SELECT label, d FROM m GROUP BY label, d HAVING count(DISTINCT edge_id) = 2), z AS (SELECT m.* FROM m JOIN ok ON m.label = ok.label AND m.d = ok.d) SELECT (SELECT count(*) FROM ok) AS operation_days, count(*) AS allocations, 2 * (SELECT count(*) FROM ok) AS balance_rows, count(DISTINCT uid) AS capacity_rows FROM z",
+    "lp_model_size": f"WITH {_RAW}{_ALL}{_E}, day AS (SELECT DISTINCT d FROM (SELECT 0 AS d UNION SELECT issue_index FROM res UNION SELECT due_index + 1 FROM res) WHERE d < (SELECT n FROM days)), p AS (SELECT f.u || '-' || f.v AS label, f.edge_id AS x, g.edge_id AS y FROM e f JOIN e g ON f.u = g.v AND f.v = g.u WHERE f.u < f.v), leg AS (SELECT label, x AS edge_id FROM p UNION ALL SELECT label, y FROM p), m AS (SELECT label, d, leg.edge_id, uid FROM leg JOIN res r ON leg.edge_id = r.edge_id JOIN day ON d BETWEEN issue_index AND due_index), ok AS (SELECT label, d FROM m GROUP BY label, d HAVING count(DISTINCT edge_id) = 2), z AS (SELECT m.* FROM m JOIN ok ON m.label = ok.label AND m.d = ok.d) SELECT (SELECT count(*) FROM ok) AS operation_days, count(*) AS allocations, 2 * (SELECT count(*) FROM ok) AS balance_rows, count(DISTINCT uid) AS capacity_rows FROM z",
     "event_days": "SELECT CAST(ts AS DATE) AS day, count(*) AS arrivals, round(sum(value), 2) AS total FROM events GROUP BY CAST(ts AS DATE)",
 }

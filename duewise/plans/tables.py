@@ -19,7 +19,7 @@ from duewise.storage import small
 from duewise.streaming.arrivals import daily_arrivals
 
 YEAR = ("1998-01-01", "1998-12-31")
-MONTH = ("1998-03-01", "1998-03-31")
+BOUND = 3  # edges of a cycle: the tables' graph is nearly complete, so longer cycles are more than any machine lists
 DAY = "1998-03-16"
 
 
@@ -48,10 +48,6 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_invoices(spark, sf_dir).filter("reject_reason is null").drop("reject_reason")
 
 
-def _issued(records: DataFrame, span: tuple[str, str]) -> DataFrame:
-    return records.filter(F.col("issue_date").between(F.lit(span[0]).cast("date"), F.lit(span[1]).cast("date")))
-
-
 def _pairs(records: DataFrame) -> DataFrame:
     return records.select(F.col("debtor").alias("u"), F.col("creditor").alias("v")).distinct()
 
@@ -130,24 +126,27 @@ def _named(found: DataFrame) -> DataFrame:
 
 
 def cycles_bounded(spark, d):
-    return _named(graph.cycles(_edges(invoices(spark, d)), 3)).groupBy(F.size("nodes").alias("length"), F.element_at("nodes", 1).alias("first_node")).agg(F.count(F.lit(1)).alias("cycles"), F.min("cycle").alias("least"), F.max("cycle").alias("greatest"))
+    return _named(graph.cycles(_edges(invoices(spark, d)), BOUND)).groupBy(F.size("nodes").alias("length"), F.element_at("nodes", 1).alias("first_node")).agg(F.count(F.lit(1)).alias("cycles"), F.min("cycle").alias("least"), F.max("cycle").alias("greatest"))
 
 
 def cycle_inventory(spark, d):
-    return graph.inventory(graph.cycles(_edges(_issued(invoices(spark, d), MONTH)), 8))
+    return graph.inventory(graph.cycles(_edges(invoices(spark, d)), BOUND))
 
 
 def cycle_common_day_capacity(spark, d):
-    records = _issued(invoices(spark, d), MONTH)
-    found = _named(graph.cycles(_edges(records), 6))
-    return st.common_day(found.select("cycle", F.explode("edges").alias("edge_id")), _residuals(records, MONTH), ["cycle"])
+    records = invoices(spark, d)
+    residuals = phases.written(_residuals(records, YEAR))
+    found = _named(graph.cycles(_edges(records), BOUND, feasible_days=graph.day_sets(residuals)))
+    return st.common_day(found.select("cycle", F.explode("edges").alias("edge_id")), residuals, ["cycle"])
 
 
 def feasible_cycle_days(spark, d):
-    records = _issued(invoices(spark, d), MONTH)
-    residuals = _residuals(records, MONTH)
-    found = graph.cycles(_edges(records), 6, feasible_days=graph.day_sets(residuals))
-    return _named(graph.feasible_cycle_days(found, residuals)).select("cycle", "day_index", "amount_cents")
+    """By day of the year, how many cycles can clear something, and the sum and largest of what each could alone."""
+    records = invoices(spark, d)
+    residuals = phases.written(_residuals(records, YEAR))
+    found = graph.cycles(_edges(records), BOUND, feasible_days=graph.day_sets(residuals))
+    by_day = graph.feasible_cycle_days(found, residuals).groupBy("day_index")
+    return by_day.agg(F.count(F.lit(1)).alias("cycles"), F.sum("amount_cents").alias("amount_cents"), F.max("amount_cents").alias("largest"))
 
 
 def topology_degrees(spark, d):
@@ -232,6 +231,17 @@ def best_path_per_intermediary(spark, d):
     return best.select("firm", "k.payer", "k.payee", (-F.col("k.q")).alias("amount_cents"), (-F.col("k.score")).alias("pmr_cents"))
 
 
+def fragment_pair_attribution(spark, d):
+    """Each firm's best path on DAY, taken alone, split pair by pair of fragments by whether they were issued in 1998."""
+    records = invoices(spark, d)
+    day = F.datediff(F.lit(DAY).cast("date"), F.lit(YEAR[0]).cast("date"))
+    paths = best_path_per_intermediary(spark, d).select(F.col("firm").alias("op_id"), "amount_cents", (F.col("payer") == F.col("payee")).alias("bilateral"), F.explode(F.array(F.struct(F.lit(0).alias("leg"), F.col("payer").alias("u"), F.col("firm").alias("v")), F.struct(F.lit(1).alias("leg"), F.col("firm").alias("u"), F.col("payee").alias("v")))).alias("x"))
+    paths = phases.written(paths.select("op_id", "bilateral", F.col("x.leg").alias("leg"), (F.col("x.u") * 100_000 + F.col("x.v")).cast("int").alias("edge_id"), F.col("amount_cents").alias("amount"), day.alias("day_index")))
+    taken = st.consume(_residuals(records, YEAR), paths.select("op_id", "edge_id", "amount", "day_index")).join(paths.select("op_id", "edge_id", "leg", "bilateral"), ["op_id", "edge_id"])
+    taken = taken.withColumns({"component": F.lit(0).cast("bigint"), "op_seq": F.col("op_id"), "kind": F.lit("path"), "frag_seq": F.col("before")})
+    return att.paired_shares(taken, att.cohort_of(records, "1998")).select(F.col("op_seq").alias("firm"), *att.RULES)
+
+
 def representative_days(spark, d):
     return lp.representative_days(_residuals(invoices(spark, d), YEAR), 365)
 
@@ -243,11 +253,6 @@ def _model_size(records: DataFrame, span: tuple[str, str], days: int) -> DataFra
 
 
 def lp_model_size(spark, d):
-    """Size of the bilateral model of the month's issues."""
-    return _model_size(_issued(invoices(spark, d), MONTH), MONTH, 31)
-
-
-def lp_model_size_all(spark, d):
     """Size of the bilateral model of all records, from the first issue to the last due date."""
     records = invoices(spark, d)
     first, last = records.agg(F.min("issue_date"), F.max("due_date")).first()
@@ -266,11 +271,8 @@ def event_days(spark, d):
 def _policy(name: str):
     def query(spark, d):
         records = invoices(spark, d)
-        span = MONTH if name == "cycle_offline" else YEAR
-        if name.startswith(("cycle", "mixed")):
-            records = _issued(records, MONTH)
-        state = st.build_state(records, *span)
-        loops = phases.feasible_cycles(state, 5)[0] if name.startswith(("cycle", "mixed")) else None
+        state = st.build_state(records, *YEAR)
+        loops = phases.feasible_cycles(state, BOUND)[0] if name.startswith(("cycle", "mixed")) else None
         fragments = phases.written(run_policy(state, name, cycles=loops))
         one = replay(state, fragments).drop("operations", "instruction_mass_cents")
         return att.summary(fragments).crossJoin(one).withColumn("policy", F.lit(name))  # one row each
@@ -304,9 +306,9 @@ def rolling_cohorts(spark, d):
 
 
 def two_phase_bridge(spark, d):
+    """The records of 1997 over their year, and what is left with those of 1998 to the end of February."""
     years, _, _ = _years(spark, d)
-    months = lambda y, a, b: years[y].filter(F.col("issue_date").between(F.lit(f"{y}-{a}").cast("date"), F.lit(f"{y}-{b}").cast("date")))
-    out = phases.two_phase(months(1997, "12-01", "12-31"), months(1998, "01-01", "01-31"), cohort="1997", issue_start="1997-12-01", issue_end="1997-12-31", bridge_start="1998-01-01", execution_end="1998-01-31", bound=3)
+    out = phases.two_phase(years[1997], years[1998], cohort="1997", issue_start="1997-01-01", issue_end="1997-12-31", bridge_start="1998-01-01", execution_end="1998-02-28", bound=BOUND)
     return spark.createDataFrame([{"method": m, "issue_mass_cents": out["issue_mass_cents"], **{k: v for k, v in out[m].items() if isinstance(v, int)}} for m in phases.METHODS])
 
 
@@ -330,6 +332,6 @@ QUERIES = {
     "topology_degrees": topology_degrees, "weak_components": weak_parts, "strong_components": strong_parts, "topology": topology, "single_day_bilateral_clearing": single_day_bilateral_clearing,
     "waterfall_consumption": waterfall_consumption, "fifo_leg_pairing": fifo_leg_pairing, "residuals_after_day": residuals_after_day, "cohort_attribution_rules": cohort_attribution_rules, "consumption_ledger": consumption_ledger,
     "best_path_per_intermediary": best_path_per_intermediary, "representative_days": representative_days, "lp_model_size": lp_model_size, "event_days": event_days, "path_curve": path_curve, "operation_log": operation_log,
-    "lp_model_size_all": lp_model_size_all, "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
+    "fragment_pair_attribution": fragment_pair_attribution, "rolling_cohorts": rolling_cohorts, "two_phase_bridge": two_phase_bridge, "lp_upper_bound": lp_upper_bound,
     **{f"policy_{p}": _policy(p) for p in ("path_daily_local", "path_daily", "path_daily_amount", "path_offline_local", "path_offline", "path_offline_amount", "cycle_daily", "cycle_offline", "mixed_cycle_then_path", "mixed_path_then_cycle")},
 }

@@ -131,9 +131,11 @@ def test_queries_over_whole_tables(spark, tmp_path):
     spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
     run_query = lambda name: tables.QUERIES[name](spark, str(tmp_path)).collect()
     assert (run_query("topology")[0]["firms"], run_query("topology")[0]["edges"]) == (4, 4)
-    assert {r["node"]: r["component"] for r in run_query("weak_components_all")} == {0: 0, 1: 0, 2: 0, 3: 0}
-    assert {r["node"]: r["component"] for r in run_query("strong_components_all")} == {0: 0, 1: 1, 2: 1, 3: 3}
-    assert run_query("lp_model_size_all")[0]["capacity_rows"] == 2
+    assert {r["node"]: r["component"] for r in run_query("weak_components")} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert {r["node"]: r["component"] for r in run_query("strong_components")} == {0: 0, 1: 1, 2: 1, 3: 3}
+    assert run_query("lp_model_size")[0]["capacity_rows"] == 2
+    assert [(r["length"], r["cycles"]) for r in run_query("cycle_inventory")] == [(2, 1)]
+    assert run_query("feasible_cycle_days") == []  # the pair's records meet in 1995 alone
     assert [r["pmr_cents"] for r in run_query("operation_log")] == [1000]
     assert max(r["pmr_cents"] for r in run_query("path_curve")) == 1000
     assert run_query("policy_path_offline")[0]["pmr_cents"] == 1000
@@ -171,3 +173,14 @@ def test_streams_equal_batches(spark, six, tmp_path):
     closed = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     last = max(r[0] for r in batch)
     assert closed == {r for r in batch if r[0] < last}
+
+
+def test_cycles_that_can_clear_by_stretch_and_day(spark):
+    day = lambda k: dt.date(2025, 1, k)
+    rows = [("a", "company:1", "company:2", 10, 1, 5), ("b", "company:2", "company:1", 4, 2, 8), ("c", "company:2", "company:1", 3, 4, 6), ("d", "company:2", "company:3", 9, 1, 9)]
+    records = spark.createDataFrame([(u, a, b, q, day(i), day(j)) for u, a, b, q, i, j in rows], "uid string, debtor string, creditor string, amount_cents bigint, issue_date date, due_date date")
+    state = build_state(records, "2025-01-01", "2025-01-09")
+    found = graph.cycles(state.edges, 8)
+    got = {(r["day_from"], r["day_to"]): r["amount_cents"] for r in graph.feasible_stretches(found, state.residuals).collect()}
+    by_day = {r["day_index"]: r["amount_cents"] for r in graph.feasible_cycle_days(found, state.residuals).collect()}
+    assert got == {(1, 2): 4, (3, 4): 7} and by_day == {1: 4, 2: 4, 3: 7, 4: 7}
