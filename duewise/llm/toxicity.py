@@ -254,6 +254,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Counts that a task keeps before it sends them on.
+HELD = 100_000
+
+
 class Model:
     """A lexicon and logistic weights, learned from labelled documents."""
 
@@ -272,6 +276,12 @@ class Model:
         sample = sample.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("h2")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
         sample = written(sample.withColumn("fold", F.pmod(F.col("h"), F.lit(2)).cast("int")))
 
+        def counts_of(seen: dict[tuple[int, str], list[int]]) -> pa.RecordBatch:
+            keys = list(seen)
+            return pa.RecordBatch.from_pydict(
+                {"fold": pa.array([k[0] for k in keys], pa.int32()), "state": pa.array([k[1] for k in keys], pa.string()), "p": pa.array([seen[k][1] for k in keys], pa.int64()), "n": pa.array([seen[k][0] for k in keys], pa.int64())}
+            )
+
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, str], list[int]] = defaultdict(lambda: [0, 0])
             for batch in batches:
@@ -280,10 +290,10 @@ class Model:
                     for s in {s for w in words for s in beginnings(w)}:
                         seen[fold, s][toxic] += 1
                     seen[fold, ""][toxic] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_pydict(
-                {"fold": pa.array([k[0] for k in keys], pa.int32()), "state": pa.array([k[1] for k in keys], pa.string()), "p": pa.array([seen[k][1] for k in keys], pa.int64()), "n": pa.array([seen[k][0] for k in keys], pa.int64())}
-            )
+                    if len(seen) >= HELD:  # parts of counts go on to the sum, so that a task's memory doesn't follow its rows
+                        yield counts_of(seen)
+                        seen.clear()
+            yield counts_of(seen)
 
         per = sample.select("text", "toxic", "fold").mapInArrow(counted, "fold int, state string, p long, n long").groupBy("fold", "state").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         both = per.groupBy("state").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("p", "n")])
