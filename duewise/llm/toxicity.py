@@ -186,10 +186,10 @@ class Machine:
     def chunk(self, chunk: str) -> list[tuple[int, float]]:
         """Symbols of a chunk between blanks; None stands for a plain word, the usual case."""
         if chunk not in self.memo:
-            if len(self.memo) > 200_000:
+            if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
             got = [(END, 0.0) if len(w) == 1 and w in ".!?;:," else self.word(w) for w in WORD.findall(chunk)]
-            self.memo[chunk] = got
+            self.memo[chunk] = PLAIN if got == PLAIN else got
         return self.memo[chunk]
 
     def clause(self, clause: list[tuple[int, float]]) -> tuple[int, float] | None:
@@ -254,8 +254,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-#: Counts that a task keeps before it sends them on.
-HELD = 100_000
+#: Counts that a task keeps before it sends them on, and chunks that a machine remembers: bounds of memory, results don't change.
+HELD, REMEMBERED = 100_000, 50_000
+PLAIN = [(OTHER, 0.0)]
 
 
 class Model:
