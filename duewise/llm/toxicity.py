@@ -163,6 +163,18 @@ def trie_weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     return out
 
 
+def telling(weights: dict[str, float]) -> dict[str, float]:
+    """``weights`` less the states that leave a word as plain as the state above them does: every word reads as before."""
+    known = {s for word, symbol in prior_symbols().items() if symbol in (INSULT, THREAT) for s in beginnings(word)}
+
+    def needed(state: str) -> bool:
+        word, longest = (state[:-1], LONGEST) if state.endswith("$") else (state, len(state) - 1)
+        above = next((weights[word[:k]] for k in range(min(len(word), longest), LEAST - 1, -1) if word[:k] in weights), 0.0)
+        return above >= KEEP
+
+    return {s: w for s, w in weights.items() if w >= KEEP or s in known or needed(s)}
+
+
 class Machine:
     """Reads texts in one worker: lexicon and composed grammar."""
 
@@ -306,7 +318,7 @@ class Model:
         lexicons = []
         for c in counts:
             toxic, clean = c.pop("", (0, 0))
-            lexicons.append(trie_weights(c, toxic, clean) if toxic and clean else {})
+            lexicons.append(telling(trie_weights(c, toxic, clean)) if toxic and clean else {})
         sent = spark.sparkContext.broadcast(lexicons[:2])
 
         def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +338,7 @@ class Model:
         keep = docs.columns if keep is None else keep
         names = [fresh("score", keep), fresh("n_clauses", keep)]
         sent = docs.sparkSession.sparkContext.broadcast((self.weights, self.kinds, self.intercept))
+        at = keep.index(text) if text in keep else len(keep)
         out = T.StructType([*(docs.schema[c] for c in keep), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +346,14 @@ class Model:
             machine = Machine(weights)
             for batch in batches:
                 scores, clauses = [], []
-                for t in batch.column(len(keep)):
+                for t in batch.column(at):
                     x, n = machine.features(t.as_py())
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ kinds) + intercept)))))
                     clauses.append(n)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(clauses, pa.int32())], names=[*keep, *names])
 
-        return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").alias("t")).mapInArrow(run, out)
+        sources = keep if text in keep else [*keep, text]
+        return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(sources)]).mapInArrow(run, out)
 
 
 THRESHOLD = 0.7

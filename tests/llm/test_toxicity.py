@@ -101,3 +101,15 @@ def test_no_labels_and_empty_tables(spark):
     got = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
     assert got[1] > 0.7 > got[2]
     assert model.score(docs.limit(0)).count() == 0
+
+
+def test_states_that_tell_nothing_can_go():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abki") for _ in range(rng.randint(1, 13))) for _ in range(600)] + [w for k in (tx.INSULT, tx.THREAT) for w in tx.PRIOR[k].split()]
+    for share in (0.1, 0.5, 0.9):
+        weights = {s: rng.uniform(-4, 6) if rng.random() < share else -1.0 for w in rng.sample(words, 400) for s in tx.beginnings(w) if rng.random() < 0.8}
+        whole, short = tx.Machine(weights), tx.Machine(tx.telling(weights))
+        assert len(short.weights) < len(weights)
+        for w in words:
+            assert whole.word(w) == short.word(w)
+            assert whole.word(w + "ba") == short.word(w + "ba")
