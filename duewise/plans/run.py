@@ -16,7 +16,7 @@ from duewise.operators.state import build_state
 from duewise.plans.phases import feasible_cycles
 from duewise.sinks import files
 from duewise.sources.atomic import RecordError, load_atomic_csv
-from duewise.sources.logs import file_digests, flat, read_curve, read_cycles, read_log, write_cycles
+from duewise.sources.logs import file_digests, flat, read_curve, read_cycles, read_run, write_cycles
 from duewise.storage import written
 
 RUNS = {("cycle", "daily"): "cycle_daily", ("path", "daily"): "path_daily", ("cycle", "offline"): "cycle_offline", ("path", "offline"): "path_offline"}
@@ -73,6 +73,8 @@ def _cycles(spark: SparkSession, state, bound: int, cache: str | None, topology:
         target = spark._jvm.org.apache.hadoop.fs.Path(cache)
         if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
             return read_cycles(spark, cache, topology, bound)
+        if cache.endswith((".json", ".json.gz")):
+            raise RecordError("caches in JSON are read, not written")
     found = feasible_cycles(state, bound)[0]
     if cache:
         write_cycles(found, cache, topology, bound)
@@ -82,7 +84,8 @@ def _cycles(spark: SparkSession, state, bound: int, cache: str | None, topology:
 def replay_logs(spark: SparkSession, records: str, log: str, start: str, end: str) -> dict:
     """Replays a written log over the records, without running a policy."""
     state = build_state(load_atomic_csv(spark, records), start, end)
-    return demand_pass(replay(state, flat(read_log(spark, log))))
+    ops, reported = read_run(spark, log)
+    return demand_pass(replay(state, flat(ops), reported))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -100,6 +103,7 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--regime", choices=("daily", "offline", "both"), default="both")
             p.add_argument("--cycle-bound", "--max-cycle-length", dest="bound", type=int, default=8)
             p.add_argument("--cycle-cache", dest="cache")
+            p.add_argument("--no-validate", dest="validate", action="store_false")
         if name == "replay":
             p.add_argument("--log", required=True)
     a = parser.parse_args(args)
@@ -107,7 +111,7 @@ def main(args: list[str] | None = None) -> int:
     pick = lambda x, all_: all_ if x == "both" else (x,)
     try:
         if a.command == "run":
-            print(files.report_json(run(spark, a.records, a.out, a.start, a.end, methods=pick(a.method, ("cycle", "path")), regimes=pick(a.regime, ("daily", "offline")), bound=a.bound, cache=a.cache)), end="")
+            print(files.report_json(run(spark, a.records, a.out, a.start, a.end, methods=pick(a.method, ("cycle", "path")), regimes=pick(a.regime, ("daily", "offline")), bound=a.bound, cache=a.cache, validate=a.validate)), end="")
         elif a.command == "replay":
             print(files.report_json(replay_logs(spark, a.records, a.log, a.start, a.end)), end="")
         elif a.command == "topology":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duewise.functions import scalars as S
 from duewise.schema import FRAGMENTS, OPERATIONS
@@ -38,13 +39,38 @@ def flat(ops: DataFrame) -> DataFrame:
     return out.to(out.sparkSession.createDataFrame([], FRAGMENTS).schema)
 
 
+NUMBERED = f"component bigint, op_seq bigint, {OPERATIONS}"
+#: What a run object says of its masses.
+REPORTED = ("pmr_cents", "instruction_mass_cents", "residual_mass_cents")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Operations from JSON lines, gzipped or not."""
-    ops = spark.read.schema(f"component bigint, op_seq bigint, {OPERATIONS}").json(path)
+    """Operations from JSON lines or from a run object, gzipped or not."""
+    return read_run(spark, path)[0]
+
+
+def read_run(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int] | None]:
+    """Operations of a log, and what it reports of its masses if it is a run object (one JSON value with ``operation_log``).
+
+    JSON lines are read in parallel and report nothing; a run object is one value, which one task reads. An object without
+    ``operation_log`` has no operations; one without its masses is refused.
+    """
+    schema = T.StructType([T.StructField("operation_log", T.ArrayType(T.StructType.fromDDL(NUMBERED))), *(T.StructField(c, T.LongType()) for c in REPORTED)])
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)  # of JSON lines this reads the first of each file
+    told = whole.filter("operation_log is not null or instruction_mass_cents is not null").select(*REPORTED).first()
+    if told is None:
+        ops, reported = spark.read.schema(NUMBERED).json(path), None
+        place = F.monotonically_increasing_id()
+    else:
+        reported = told.asDict()
+        if lost := [c for c in REPORTED if reported[c] is None]:
+            raise RecordError(f"a run object needs {lost}")
+        ops = whole.select(F.posexplode("operation_log").alias("_at", "_op")).select("_op.*", "_at")
+        place = F.col("_at").cast("bigint")
     if not ops.filter("kind is null or day_index is null or amount_cents is null").isEmpty():
         raise RecordError("operations need kind, day_index and amount_cents")
-    # a log without our numbering counts its lines
-    return ops.withColumns({"component": F.coalesce("component", F.lit(0).cast("bigint")), "op_seq": F.coalesce("op_seq", F.monotonically_increasing_id())})
+    # a log without our numbering counts its operations
+    return ops.withColumns({"component": F.coalesce("component", F.lit(0).cast("bigint")), "op_seq": F.coalesce("op_seq", place)}).drop("_at"), reported
 
 
 def write_cycles(cycles: DataFrame, path: str, topology: str, bound: int) -> None:
@@ -53,10 +79,18 @@ def write_cycles(cycles: DataFrame, path: str, topology: str, bound: int) -> Non
 
 
 def read_cycles(spark: SparkSession, path: str, topology: str, bound: int) -> DataFrame:
-    rows = spark.read.parquet(path)
-    if not rows.filter((F.col("topology_sha256") != topology) | (F.col("length_bound") != bound)).isEmpty():
+    """Cycles of a cache, a table of ours or one JSON object (``.json``, ``.json.gz``); raises RecordError if it is of another graph or bound."""
+    if path.endswith((".json", ".json.gz")):
+        schema = "length_bound int, topology_sha256 string, cycles array<struct<nodes:array<int>,edges:array<int>>>"
+        rows = spark.read.schema(schema).option("multiLine", True).json(path)
+        cycles = rows.select(F.explode("cycles").alias("c")).select("c.nodes", "c.edges")
+    else:
+        rows = spark.read.parquet(path)
+        cycles = rows.select("nodes", "edges")
+    same = (F.col("topology_sha256") == topology) & (F.col("length_bound") == bound)
+    if not rows.filter(~F.coalesce(same, F.lit(False))).isEmpty():
         raise RecordError("the cycle cache is of another graph or bound")
-    return rows.select("nodes", "edges")
+    return cycles
 
 
 #: Pairs of columns that curves come with, and how many halves of cents a unit is.

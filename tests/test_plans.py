@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from duewise.operators import attribution as att
 from duewise.operators import clearing, graph
 from duewise.operators.components import strong_components, weak_components
+from duewise.operators.replay import ReplayError, replay
 from duewise.operators.state import build_state, capacity_by_day
 from duewise.plans import bound, phases, run, tables
 from duewise.sinks import files
@@ -157,6 +159,38 @@ def test_run_command_logs_and_cache(spark, six, tmp_path):
     assert run.options(["a=b=c"]) == {"a": "b=c"}
 
 
+def test_run_objects_and_json_caches(spark, six, tmp_path):
+    files.write_atomic_csv(six, f"{tmp_path}/in.csv", one_file=True)
+    days = ("2025-01-01", "2025-01-12")
+    run.run(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", *days, methods=("path",), regimes=("daily",))
+    ops = [json.loads(x) for x in logs.read_log(spark, f"{tmp_path}/out/daily_path.log.json").orderBy("component", "op_seq").toJSON().collect()]
+    state = build_state(six, *days)
+    found = replay(state, logs.flat(logs.read_log(spark, f"{tmp_path}/out/daily_path.log.json"))).first()
+    said = {"method": "path", "regime": "daily", "operations": len(ops), **{c: found[c] for c in ("instruction_mass_cents", "residual_mass_cents")}, "pmr_cents": 16000}
+
+    def replayed(indent, packed, **other):
+        text = json.dumps(said | {"operation_log": [{k: v for k, v in o.items() if k not in ("component", "op_seq")} for o in ops]} | other, indent=indent)
+        path = f"{tmp_path}/object.json" + ".gz" * packed
+        (gzip.open if packed else open)(path, "wt").write(text)
+        return run.replay_logs(spark, f"{tmp_path}/in.csv", path, *days)
+
+    assert replayed(None, False)["all_pass"] and replayed(2, True)["operations"] == len(ops)
+    for wrong in ("pmr_cents", "instruction_mass_cents", "residual_mass_cents"):
+        with pytest.raises(ReplayError):
+            replayed(None, False, **{wrong: said[wrong] + 1})
+    with pytest.raises(ValueError, match="needs"):
+        replayed(None, False, residual_mass_cents=None)
+    with pytest.raises(ReplayError):
+        replayed(None, False, operation_log=[])
+
+    with gzip.open(f"{tmp_path}/cycles.json.gz", "wt") as f:
+        json.dump({"length_bound": 8, "topology_sha256": "x", "cycles": [{"nodes": [0, 1], "edges": [4, 2]}]}, f)
+    assert [tuple(r) for r in logs.read_cycles(spark, f"{tmp_path}/cycles.json.gz", "x", 8).collect()] == [([0, 1], [4, 2])]
+    for topology, bound in (("x", 7), ("y", 8)):
+        with pytest.raises(ValueError, match="cycle cache"):
+            logs.read_cycles(spark, f"{tmp_path}/cycles.json.gz", topology, bound)
+
+
 def test_annual_series_and_variants(spark, six):
     rows = phases.annual_series([{"cohort": "2025", "input_csv": "x", "issue_start_date": "2025-01-01", "issue_end_date": "2025-01-12"}], lambda path: six)
     assert {r["policy"]: r["pmr_cents"] for r in rows} == {"cycle_daily": 15000, "path_daily": 16000, "cycle_offline": 15000, "path_offline": 16000}
