@@ -218,3 +218,22 @@ def test_cycles_that_can_clear_by_stretch_and_day(spark):
     got = {(r["day_from"], r["day_to"]): r["amount_cents"] for r in graph.feasible_stretches(found, state.residuals).collect()}
     by_day = {r["day_index"]: r["amount_cents"] for r in graph.feasible_cycle_days(found, state.residuals).collect()}
     assert got == {(1, 2): 4, (3, 4): 7} and by_day == {1: 4, 2: 4, 3: 7, 4: 7}
+
+
+def test_edge_ids_of_many_firms(spark, tmp_path):
+    day, n = dt.date.fromisoformat, 60_000
+    rows = [(59_999, 2, "1998-01-05"), (2, 59_999, "1998-01-06"), (59_998, 59_999, "1998-02-01"), (2, 59_998, "1998-02-02")]
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, u, day(i)) for k, (u, _, i) in enumerate(rows)], "o_orderkey int, o_custkey int, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, 1, 1, v, 1.0, 10.0 + k, 0.0, 0.0, "N", "O", day("1998-06-30")) for k, (_, v, _) in enumerate(rows)]
+    names = "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run_query = lambda name: sorted(tuple(r) for r in tables.QUERIES[name](spark, str(tmp_path)).collect())
+    assert [e[0] for e in run_query("edge_day_capacity_events")] == sorted(u * 100_000 + v for u, v, _ in rows)
+    assert run_query("reciprocal_pairs") == [(2, 59_999, 259_999, 5_999_900_002)] and run_query("single_day_bilateral_clearing") == [(2, 59_999, 1000, 2000)]
+    assert [r[:3] for r in run_query("waterfall_consumption")] == [("2-59999", 259_999, "1:1:1"), ("2-59999", 5_999_900_002, "0:1:1")]
+    assert len(run_query("edge_day_capacity")) == 365 - 4 - (365 - 181) and run_query("consumption_ledger")[0][2] == 2
+    assert run_query("cohort_attribution_rules") == [("2-59999", 4000, 4000, 4000)] and len(run_query("best_path_per_intermediary")) == 3
+    assert run_query("cycle_inventory") == [(2, 1), (3, 1)] and run_query("cycles_bounded") == [(2, 2, 1, "2>59999", "2>59999"), (3, 2, 1, "2>59998>59999", "2>59998>59999")]
+    assert run_query("cycle_common_day_capacity") == [("2>59998>59999", 1000, 32), ("2>59999", 1000, 5)]
+    assert run_query("feasible_cycle_days")[0] == (5, 1, 1000, 1000) and run_query("lp_model_size")[0][3] == 2
