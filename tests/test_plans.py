@@ -237,3 +237,28 @@ def test_edge_ids_of_many_firms(spark, tmp_path):
     assert run_query("cycle_inventory") == [(2, 1), (3, 1)] and run_query("cycles_bounded") == [(2, 2, 1, "2>59999", "2>59999"), (3, 2, 1, "2>59998>59999", "2>59998>59999")]
     assert run_query("cycle_common_day_capacity") == [("2>59998>59999", 1000, 32), ("2>59999", 1000, 5)]
     assert run_query("feasible_cycle_days")[0] == (5, 1, 1000, 1000) and run_query("lp_model_size")[0][3] == 2
+
+
+def test_cycles_closed_by_two_edges(spark, monkeypatch):
+    from functools import reduce
+
+    monkeypatch.setattr(graph, "HELD_EDGES", 5)
+    monkeypatch.setattr(graph, "AT_ONCE", 3)
+    rng = random.Random(1)
+    pairs = sorted({(7 * rng.randrange(8), 7 * rng.randrange(8)) for _ in range(34)})
+    ids, days = {e: k + 2**33 for k, e in enumerate(pairs)}, {e: [rng.choice([0, 1, 2, 4, 7]), rng.choice([0, 8, 24])] for e in pairs}
+    on = lambda p: [(p[k], p[(k + 1) % len(p)]) for k in range(len(p))]
+    edges = spark.createDataFrame([(*e, k) for e, k in ids.items()], "u int, v int, edge_id bigint")
+    sets = spark.createDataFrame([(ids[e], d) for e, d in days.items()], "edge_id bigint, days array<bigint>")
+    written_ = []
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: written_.append(out := f(df)) or out)
+    for most in (2, 3, 5):
+        paths, want = [(u, v) for u, v in pairs if u < v], []
+        while paths:
+            want += [p for p in paths if (p[-1], p[0]) in ids]
+            paths = [(*p, v) for p in paths if len(p) < most for u, v in pairs if u == p[-1] and v > p[0] and v not in p]
+        got = sorted((tuple(r["nodes"]), tuple(r["edges"])) for r in graph.cycles(edges, most).collect())
+        assert got == sorted((p, tuple(ids[e] for e in on(p))) for p in want)
+        can = [p for p in want if any(reduce(int.__and__, [days[e][w] for e in on(p)]) for w in (0, 1))]
+        assert sorted(tuple(r["nodes"]) for r in graph.cycles(edges, most, feasible_days=sets).collect()) == sorted(can)
+    assert all("nodes" not in x.columns or max(len(r["nodes"]) for r in x.collect()) <= 4 for x in written_)  # open paths of the bound's length aren't made
