@@ -262,3 +262,13 @@ def test_cycles_closed_by_two_edges(spark, monkeypatch):
         can = [p for p in want if any(reduce(int.__and__, [days[e][w] for e in on(p)]) for w in (0, 1))]
         assert sorted(tuple(r["nodes"]) for r in graph.cycles(edges, most, feasible_days=sets).collect()) == sorted(can)
     assert all("nodes" not in x.columns or max(len(r["nodes"]) for r in x.collect()) <= 4 for x in written_)  # open paths of the bound's length aren't made
+
+
+def test_model_counts_without_variables(records):
+    rng = random.Random(4)
+    for n in (4, 25):
+        rows = [(f"u{k}", *rng.sample("ABC", 2), rng.randint(1, 9), i := rng.randint(1, 12), i + rng.randint(0, 4)) for k in range(n)]
+        state = build_state(records(rows), "2025-01-03", "2025-01-12")
+        for kind in ("path", "cycle"):
+            moves = bound.candidates(state, kind)
+            assert bound.model_counts(state, moves).first() == bound.model_size(bound.variables(state, moves)).first()
