@@ -214,3 +214,30 @@ def test_guards(six):
         build_state(six, "2030-01-01", "2030-01-02")
     with pytest.raises(ValueError, match="two edges"):
         graph.cycles(state.edges, 1)
+
+
+def test_crossings_are_sorted_once_a_firm(monkeypatch):
+    import pandas as pd
+
+    rng, made, names = random.Random(6), [], ["edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"]
+    rows = []
+    for k in range(120):
+        u, v = rng.sample(range(6), 2)
+        i = rng.randrange(30)
+        j = min(29, i + rng.randrange(9))
+        rows.append((u * 10 + v, u, v, f"r{k}", rng.randint(1, 99), i, j, i, j))
+    build = clearing.Crossing.__init__
+    monkeypatch.setattr(clearing.Crossing, "__init__", lambda self, market, firm: (made.append(firm), build(self, market, firm))[1])
+    for policy in ("path_daily", "path_daily_local", "path_daily_amount", "mixed_path_then_cycle"):
+        made.clear()
+        out = clearing.clear(pd.DataFrame(rows, columns=names), [((0, 1), (1, 10))], policy, 30)
+        assert out and len(made) == len(set(made)) <= 6
+    market = clearing.Market(pd.DataFrame(rows, columns=names), 30, False)
+    for day in range(30):  # what is kept up is what would be sorted anew
+        market.dawn(day)
+        for firm in market.middle:
+            kept, new = market.crossing(firm), clearing.Crossing(market, firm)
+            assert (kept.ins, kept.outs, kept.back) == (new.ins, new.outs, new.back)
+            if (key := kept.best()) is not None:
+                market.take(key[5], day, 1)
+                market.take(key[6], day, 1)
