@@ -217,8 +217,6 @@ def test_guards(six):
 
 
 def test_crossings_are_sorted_once_a_firm(monkeypatch):
-    import pandas as pd
-
     rng, made, names = random.Random(6), [], ["edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"]
     rows = []
     for k in range(120):
