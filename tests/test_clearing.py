@@ -239,3 +239,15 @@ def test_crossings_are_sorted_once_a_firm(monkeypatch):
             if (key := kept.best()) is not None:
                 market.take(key[5], day, 1)
                 market.take(key[6], day, 1)
+
+
+def test_offline_paths_hold_one_entry_an_edge(monkeypatch):
+    names = ["edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"]
+    pairs = [(a, 5) for a in range(5)] + [(5, a) for a in range(5)]
+    frame = pd.DataFrame([(k, u, v, f"r{k}", 3 + k, 0, 4, 0, 4) for k, (u, v) in enumerate(pairs)], columns=names)
+    sizes, heapify = [], clearing.heapq.heapify
+    monkeypatch.setattr(clearing.heapq, "heapify", lambda q: (sizes.append(len(q)), heapify(q))[1])
+    for policy in ("path_offline", "path_offline_local", "path_offline_amount"):
+        sizes.clear()
+        out = clearing.clear(frame, [], policy, 5)
+        assert max(sizes) <= len(pairs) and sum(r[13] for r in out if r[10] == 0) == sum(range(3, 8))  # all that comes in goes out
