@@ -272,3 +272,18 @@ def test_model_counts_without_variables(records):
         for kind in ("path", "cycle"):
             moves = bound.candidates(state, kind)
             assert bound.model_counts(state, moves).first() == bound.model_size(bound.variables(state, moves)).first()
+
+
+def test_day_sets_come_from_stretches_without_their_days(spark):
+    """Words of stretches equal words of days at the edges of words, and no plan of a day set makes days."""
+    rng = random.Random(8)
+    rows = [(e, 1, i, j) for e in range(40) for i, j in [sorted((rng.randrange(200), rng.randrange(200))) for _ in range(rng.randrange(1, 4))]]
+    rows += [(90, 1, 0, 63), (91, 1, 63, 64), (92, 1, 64, 127), (93, 1, 127, 127), (94, 1, 0, 199)]
+    residuals = spark.createDataFrame(rows, "edge_id bigint, residual bigint, issue_index int, due_index int")
+    found = graph.day_sets(residuals)
+    want = {e: sorted({d for x, _, i, j in rows if x == e for d in range(i, j + 1)}) for e in {r[0] for r in rows}}
+    assert {r["edge_id"]: r["d"] for r in found.select("edge_id", graph.S.word_days(F.col("days")).alias("d")).collect()} == want
+    assert "sequence(day_from" not in found._jdf.queryExecution().analyzed().toString()
+    loops = spark.createDataFrame([([1, 2], [90, 94]), ([1, 2, 3], [91, 92, 94]), ([4, 5], [90, 93])], "nodes array<int>, edges array<bigint>")
+    sums = {r["day_index"]: (r["cycles"], r["amount_cents"], r["largest"]) for r in graph.feasible_day_sums(loops, residuals).collect()}
+    assert sums == {d: (1, 1, 1) for d in range(65)}
