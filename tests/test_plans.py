@@ -285,5 +285,6 @@ def test_day_sets_come_from_stretches_without_their_days(spark):
     assert {r["edge_id"]: r["d"] for r in found.select("edge_id", graph.S.word_days(F.col("days")).alias("d")).collect()} == want
     assert "sequence(day_from" not in found._jdf.queryExecution().analyzed().toString()
     loops = spark.createDataFrame([([1, 2], [90, 94]), ([1, 2, 3], [91, 92, 94]), ([4, 5], [90, 93])], "nodes array<int>, edges array<bigint>")
+    assert {tuple(r["nodes"]): (r["amount_cents"], r["day_index"]) for r in graph.best_days(loops, residuals).collect()} == {(1, 2): (1, 0), (1, 2, 3): (1, 64)}
     sums = {r["day_index"]: (r["cycles"], r["amount_cents"], r["largest"]) for r in graph.feasible_day_sums(loops, residuals).collect()}
     assert sums == {d: (1, 1, 1) for d in range(65)}
