@@ -251,3 +251,8 @@ def test_offline_paths_hold_one_entry_an_edge(monkeypatch):
         sizes.clear()
         out = clearing.clear(frame, [], policy, 5)
         assert max(sizes) <= len(pairs) and sum(r[13] for r in out if r[10] == 0) == sum(range(3, 8))  # all that comes in goes out
+
+
+def test_a_state_holds_only_what_a_phase_needs(six):
+    """Labels, texts and dates of records are not written again with each state."""
+    assert set(build_state(six, *SPAN).residuals.columns) == {"edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"}
