@@ -21,9 +21,20 @@ from duewise.llm.common import small, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Bytes of a batch between JVM and Python. By number alone (10,000 rows) a batch of long texts takes tens of MB several times
+#: over in each task, and an executor keeps that memory through the stages that follow.
+BATCH_BYTES = 4 << 20
+
+
+def slight(spark: SparkSession) -> None:
+    """Bounds the session's batches by BATCH_BYTES, from here on, as stages are read after they return; a smaller bound stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar, learned from the labels, doesn't call toxic."""
+    slight(spark)
     docs = docs.select(*COLUMNS)
     scored = toxicity.Model.fit(docs, table(spark, sf_dir, "labels")).score(docs)
     return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -38,6 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of similar ones."""
+    slight(spark)
     rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
     found, _ = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text"))
     found = written(found.filter("n_links > 0").select(F.col("doc_id").alias("_row"), "component_id"))
@@ -54,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source with token ids, their number, and the digest of what they decode to."""
+    slight(spark)
     operator = bpe.Operator(docs.select("text"), bpe.vocabulary_path())
     fields = {
         "n_tokens": ("long", lambda n, ids, tokens: n),

@@ -78,3 +78,25 @@ def test_missing_and_repeated_ids_and_empty_tables(spark, tmp_path):
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
         empty = empty if "text" in empty.columns else None
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """Long texts don't come to Python 10,000 at a time; a session's own smaller bound stays."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fixture(spark, tmp_path)
+    docs = spark.range(1500, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 900) as text", "'en' as lang", "'s' as source", "9900L as n_chars")
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"b": [max(b.nbytes for b in batches)]})
+
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.toxic(spark, docs, str(tmp_path))
+        assert docs.mapInArrow(largest, "b long").first()["b"] < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(name, "100000")
+        corpus_pipeline.encoded(spark, docs, str(tmp_path))
+        assert spark.conf.get(name) == "100000"
+    finally:
+        spark.conf.unset(name)
