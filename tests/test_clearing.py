@@ -256,3 +256,21 @@ def test_offline_paths_hold_one_entry_an_edge(monkeypatch):
 def test_a_state_holds_only_what_a_phase_needs(six):
     """Labels, texts and dates of records are not written again with each state."""
     assert set(build_state(six, *SPAN).residuals.columns) == {"edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"}
+
+
+@pytest.mark.parametrize("policy", ["path_daily_local", "path_daily_amount"])
+def test_firmwise_policies_need_no_crossings(monkeypatch, policy):
+    """They run over arrays and are read in parts: no object for a firm is made, and parts are cut without a loss."""
+    names = ["edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"]
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        u, v = rng.sample(range(7), 2)
+        i = rng.randrange(30)
+        j = min(29, i + rng.randrange(9))
+        rows.append((u * 10 + v, u, v, f"r{k}", rng.choice([5, 5, 7, 40]), i, j, i, j))
+    frame = pd.DataFrame(rows, columns=names)
+    whole = clearing.clear(frame, [], policy, 30)
+    monkeypatch.setattr(clearing, "Crossing", None)
+    monkeypatch.setattr(clearing.firmwise, "PART", 7)
+    assert len(whole) > 100 and clearing.clear(frame, [], policy, 30) == whole
