@@ -274,3 +274,13 @@ def test_firmwise_policies_need_no_crossings(monkeypatch, policy):
     monkeypatch.setattr(clearing, "Crossing", None)
     monkeypatch.setattr(clearing.firmwise, "PART", 7)
     assert len(whole) > 100 and clearing.clear(frame, [], policy, 30) == whole
+
+
+def test_offline_cycles_need_no_grid_of_days():
+    """What an edge can carry is kept as stretches: the run doesn't hold every day of every edge, however long the horizon."""
+    horizon = 10**12
+    row = lambda uid, e, u, v, q, i, d: {"edge_id": e, "u": u, "v": v, "uid": uid, "residual": q, "issue_index": i, "due_index": d, "issue_ordinal": i, "due_ordinal": d}
+    far = horizon - 1
+    rows = [row("a", 0, 0, 1, 5, 0, far), row("b", 0, 0, 1, 4, far - 3, far), row("c", 1, 1, 0, 7, far - 5, far - 2), row("d", 2, 1, 2, 9, far - 1, far), row("e", 3, 2, 0, 3, 0, far)]
+    out = clearing.clear(pd.DataFrame(rows), [((0, 1), (0, 1)), ((0, 1, 2), (0, 2, 3))], "cycle_offline", horizon)
+    assert [(r[0], r[2], r[3], r[10], r[12], r[13]) for r in out] == [(0, far - 3, 7, 0, "a", 5), (0, far - 3, 7, 0, "b", 2), (0, far - 3, 7, 1, "c", 7), (1, far - 1, 2, 0, "b", 2), (1, far - 1, 2, 1, "d", 2), (1, far - 1, 2, 2, "e", 2)]
