@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from duewise.llm.common import fresh, table, written
+from duewise.llm.common import fresh, frugal, table, written
 
 #: How this kind of vocabulary cuts a normalised text into pieces, and what it takes for white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -44,7 +44,9 @@ WORD_END = "</w>"
 STOPS = frozenset(".,;:!?")
 
 LEXICON_WORDS = 150_000
-MEMO = 300_000
+MEMO = 60_000
+#: Chunks of texts that a task counts before it sends its counts on.
+COUNTED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -290,20 +292,20 @@ def lexicon_words(texts: DataFrame, size: int = LEXICON_WORDS) -> list[str]:
 
         def out() -> pa.RecordBatch:
             n: Counter[str] = Counter()
-            for c, k in seen.items():
+            while seen:
+                c, k = seen.popitem()
                 for p in PIECES.findall(c):
                     n[p] += k
-            seen.clear()
             return pa.RecordBatch.from_pydict({"piece": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
         for batch in batches:
             for text in batch.column(0):
                 seen.update(chunks(text.as_py() or ""))
-                if len(seen) > 400_000:
+                if len(seen) > COUNTED:
                     yield out()
         yield out()
 
-    counts = written(texts.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1"))
+    counts = written(texts.mapInArrow(frugal(counted), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1"))
     return [r["piece"] for r in counts.filter(F.col("n") >= least_count(counts, size)).orderBy("piece").collect()]
 
 
@@ -356,7 +358,7 @@ class Operator:
                     made = [pa.array([f(*r) for r in rows], to_arrow_type(t)) for f, t in zip(make.values(), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *make])
 
-        return source.mapInArrow(run, out)
+        return source.mapInArrow(frugal(run), out)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """``docs`` with token_ids (array of int) and decoded (text), under other names if those are taken."""

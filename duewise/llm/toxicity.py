@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import fresh, table, written
+from duewise.llm.common import fresh, frugal, table, written
 
 OTHER, END, INSULT, THREAT, TARGET, SUBJECT, NEGATION, REPORT, SPEAKER, MODAL, INTENT = range(11)
 
@@ -308,7 +308,7 @@ class Model:
                         seen.clear()
             yield counts_of(seen)
 
-        per = sample.select("text", "toxic", "fold").mapInArrow(counted, "fold int, state string, p long, n long").groupBy("fold", "state").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        per = sample.select("text", "toxic", "fold").mapInArrow(frugal(counted), "fold int, state string, p long, n long").groupBy("fold", "state").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
         both = per.groupBy("state").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("p", "n")])
         kept = both.filter((F.col("p0") + F.col("p1") >= least_docs) | (F.col("state") == ""))
         counts: list[dict[str, tuple[int, int]]] = [{}, {}, {}]
@@ -327,7 +327,7 @@ class Model:
                 rows = [machines[f].features(t)[0] for t, f in zip(batch["text"].to_pylist(), batch["fold"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch["toxic"]], names=["x", "toxic"])
 
-        rows = sample.select("text", "toxic", "fold").mapInArrow(seen_by, "x array<double>, toxic int").collect()
+        rows = sample.select("text", "toxic", "fold").mapInArrow(frugal(seen_by), "x array<double>, toxic int").collect()
         rows.sort(key=lambda r: (r["toxic"], r["x"]))
         x = np.array([r["x"] for r in rows]).reshape(len(rows), 2 * len(KINDS))
         kinds, intercept = logistic(x, np.array([r["toxic"] for r in rows], float))
@@ -353,7 +353,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(clauses, pa.int32())], names=[*keep, *names])
 
         sources = keep if text in keep else [*keep, text]
-        return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(sources)]).mapInArrow(run, out)
+        return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(sources)]).mapInArrow(frugal(run), out)
 
 
 THRESHOLD = 0.7

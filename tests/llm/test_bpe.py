@@ -86,3 +86,32 @@ def test_lexicon_words_are_those_over_a_count(spark):
     frame = spark.createDataFrame(rows, "text string")
     for size, want in [(0, []), (1, ["aa"]), (2, ["aa"]), (3, ["aa", "bb", "cc"]), (4, ["aa", "bb", "cc", "dd"]), (9, ["aa", "bb", "cc", "dd"])]:
         assert bpe.lexicon_words(frame, size) == want
+
+
+def test_a_worker_remembers_and_holds_little():
+    """Unseen words don't fill a worker (two share an executor with the JVM's heap), and what a task has freed goes back."""
+    import re
+    from pathlib import Path
+
+    from duewise.llm.common import frugal
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    c = codec(["hello"])
+    before = held()
+    for k in range(0, 200_000, 500):
+        text = " ".join(f"q{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}{'abcdefghij'[k // 500 % 10]}{'klmnopqrst'[k // 5000 % 10]}{'uvwxyzabcd'[k // 50000]}" for j in range(500))
+        c.text(text)
+        assert len(c.memo) <= 61_000
+    assert held() - before < 60
+
+    def run(batches):
+        parts = [bytes(100_000) for _ in range(2000)]  # too small for a mapping of their own
+        last = bytes(1000)
+        yield from batches
+        assert len(parts) and last
+
+    floor = held()
+    assert list(frugal(run)(iter([1, 2]))) == [1, 2]
+    assert held() - floor < 40
