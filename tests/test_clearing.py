@@ -284,3 +284,39 @@ def test_offline_cycles_need_no_grid_of_days():
     rows = [row("a", 0, 0, 1, 5, 0, far), row("b", 0, 0, 1, 4, far - 3, far), row("c", 1, 1, 0, 7, far - 5, far - 2), row("d", 2, 1, 2, 9, far - 1, far), row("e", 3, 2, 0, 3, 0, far)]
     out = clearing.clear(pd.DataFrame(rows), [((0, 1), (0, 1)), ((0, 1, 2), (0, 2, 3))], "cycle_offline", horizon)
     assert [(r[0], r[2], r[3], r[10], r[12], r[13]) for r in out] == [(0, far - 3, 7, 0, "a", 5), (0, far - 3, 7, 0, "b", 2), (0, far - 3, 7, 1, "c", 7), (1, far - 1, 2, 0, "b", 2), (1, far - 1, 2, 1, "d", 2), (1, far - 1, 2, 2, "e", 2)]
+
+
+def market_frame(seed, firms, count, horizon=30):
+    """Many records of few firms, with several on an edge and amounts that tie."""
+    rng, rows = random.Random(seed), []
+    for k in range(count):
+        u, v = rng.sample(range(firms), 2)
+        i = rng.randrange(horizon)
+        j = min(horizon - 1, i + rng.randrange(9))
+        rows.append((u * firms + v, u, v, f"r{k}", rng.choice([5, 5, 7, 40]), i, j, i, j))
+    return pd.DataFrame(rows, columns=["edge_id", "u", "v", "uid", "residual", "issue_index", "due_index", "issue_ordinal", "due_ordinal"])
+
+
+@pytest.mark.parametrize("policy", clearing.POLICIES)
+def test_all_policies_run_over_arrays(monkeypatch, policy):
+    """No object for a firm, an edge or a day is made, and the log is cut into parts without a loss."""
+    frame, firms = market_frame(4, 7, 300), 7
+    pairs = set(zip(frame["u"], frame["v"], strict=True))
+    cycles = [((a, b, c), (a * firms + b, b * firms + c, c * firms + a)) for a, b in pairs for c in range(a + 1, firms) if a < b != c and {(b, c), (c, a)} <= pairs]
+    whole = clearing.clear(frame, cycles, policy, 30)
+    monkeypatch.setattr(clearing, "Market", None)
+    monkeypatch.setattr(clearing, "Crossing", None)
+    monkeypatch.setattr(clearing.firmwise, "PART", 7)
+    monkeypatch.setattr(clearing.firmwise, "CELLS", 50)
+    assert len(whole) > 100 and clearing.clear(frame, cycles[::-1], policy, 30) == whole
+    assert ("path" in policy or "mixed" in policy) == any(r[1] == "path" for r in whole)
+
+
+@pytest.mark.parametrize("policy", ["path_offline", "path_offline_local", "path_offline_amount"])
+def test_offline_paths_keep_stretches_of_days(policy):
+    """No day of an edge is made: a horizon of a billion days holds no more than one of ten."""
+    row = lambda uid, e, u, v, q, i, d: {"edge_id": e, "u": u, "v": v, "uid": uid, "residual": q, "issue_index": i, "due_index": d, "issue_ordinal": i, "due_ordinal": d}
+    far = 10**9 - 1
+    rows = [row("a", 0, 0, 1, 5, 0, far), row("b", 0, 0, 1, 4, far - 3, far), row("c", 1, 1, 2, 7, far - 5, far - 2)]
+    out = clearing.clear(pd.DataFrame(rows), [], policy, 10**9)
+    assert [(r[0], r[2], r[3], r[10], r[12], r[13]) for r in out] == [(0, far - 3, 7, 0, "a", 5), (0, far - 3, 7, 0, "b", 2), (0, far - 3, 7, 1, "c", 7)]
